@@ -20,7 +20,7 @@ from payouts.functions import (
     parse_commission_points,
     parse_margin_points,
 )
-from payouts.operators.joins import lookup_join
+from payouts.operators.joins import attach_row, hot_keys, lookup_join, lookup_joins
 from payouts.operators.shape import is_text, normalize_report_rows, quoted, resolve_column
 
 __all__ = [
@@ -78,16 +78,21 @@ def sum_numeric_column(rows: DataFrame, name: str) -> Column:
     return F.coalesce(money_sum(parse_br_number(F.col(name), is_text(rows, name))), F.lit(0.0))
 
 
-def extraction_keys(base: DataFrame) -> DataFrame:
-    """Distinct (chassis, padded document) of an extraction, both non-blank."""
+def _named_keys(base: DataFrame) -> DataFrame:
     keys = base.select(norm_key(F.col("nro_chassi")).alias("nro_chassi"),
                        pad_document(F.col("nro_documento")).alias("nro_documento"))
-    return keys.where("nro_chassi <> '' and nro_documento <> ''").distinct()
+    return keys.where("nro_chassi <> '' and nro_documento <> ''")
+
+
+def extraction_keys(base: DataFrame) -> DataFrame:
+    """Distinct (chassis, padded document) of an extraction, both non-blank."""
+    return _named_keys(base).distinct()
 
 
 def extraction_key_check(sheet: DataFrame, keys: DataFrame) -> DataFrame:
     """Sheet rows whose chassis and document are not in the extraction."""
-    return lookup_join(sheet, keys, ["nro_chassi", "nro_documento"], flag="_known").where(~F.col("_known")).drop("_known")
+    checked = lookup_join(sheet, keys, ["nro_chassi", "nro_documento"], flag="_known")
+    return checked.where(~F.col("_known")).drop("_known")
 
 
 def _key_counts(sheet: DataFrame) -> DataFrame:
@@ -111,10 +116,14 @@ def audit_rows(sheets: DataFrame) -> DataFrame:
     return rows.withColumns(parsed)
 
 
-def audit_rule_join(rows: DataFrame, fat: DataFrame, margin: DataFrame) -> DataFrame:
+def audit_rule_join(
+    rows: DataFrame, fat: DataFrame, margin: DataFrame, hot_from: DataFrame | None = None
+) -> DataFrame:
     """Rows with the allowed percents and targets of their model, empty when it has no rule."""
     rules = fat.join(margin, "modelo", "full_outer").withColumnRenamed("modelo", "_model")
-    joined = lookup_join(rows.withColumn("_model", F.nullif(norm_key(F.col("modelo")), F.lit(""))), rules, ["_model"])
+    model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
+    hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
+    joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"], hot=hot)
     empty = F.array().cast("array<double>")
     sets = ("percentuais_fat", "percentuais_margem", "metas")
     return joined.withColumns({c: F.coalesce(F.col(c), empty) for c in sets}).drop("_model")
@@ -225,9 +234,8 @@ def _file_frame(sheets: DataFrame, fat: DataFrame, sentinel: str) -> DataFrame:
         F.sort_array(F.collect_set(F.when(sentinel_row, percent))).alias("_used"),
     )
     empty = F.array().cast("array<double>")
-    expected = fat.where(F.col("modelo") == sentinel).select(F.lit(True).alias("_one"), F.col("percentuais_fat").alias("_allowed"))
-    joined = read.join(checked, "arquivo", "left").withColumn("_one", F.lit(True))
-    return lookup_join(joined, expected, ["_one"], strategy="plain").drop("_one").withColumns(
+    expected = fat.where(F.col("modelo") == sentinel).agg(F.max("percentuais_fat").alias("_allowed"))
+    return attach_row(read.join(checked, "arquivo", "left"), expected).withColumns(
         {
             "linhas_validadas": F.coalesce("linhas_validadas", F.lit(0)),
             "receita_bruta_lida": F.coalesce("receita_bruta_lida", F.lit(0.0)),
@@ -252,10 +260,10 @@ def paid_sheet_audit(
     fat, margin = allowed_fat_rates(fat_rules), allowed_margin_rules(margin_rules)
     files = _file_frame(sheets, fat, sentinel)
     no_line = F.lit(None).cast("bigint")
-    missing = files.select(
+    missing = files.select("arquivo", F.explode("_missing").alias("_column")).select(
         "arquivo", no_line.alias("linha"), F.lit(_ERROR).alias("severidade"),
         F.lit("Coluna obrigatória").alias("regra"),
-        F.concat(F.lit("Coluna ausente: "), F.explode("_missing")).alias("detalhe"),
+        F.concat(F.lit("Coluna ausente: "), F.col("_column")).alias("detalhe"),
     )
     if all(c in normalize_report_rows(sheets).columns for c in S.AUDIT_REQUIRED):
         complete = sheets.where(F.size(_missing_columns(sheets)) == 0)
@@ -263,21 +271,23 @@ def paid_sheet_audit(
         return missing
     rows = audit_rows(complete)
     keys = extraction_keys(extraction)
-    loaded = keys.agg(F.count(F.lit(1)).alias("_keys")).select((F.col("_keys") == 0).alias("_none"), F.lit(True).alias("_one"))
-    checked = lookup_join(rows, _key_counts(rows), ["arquivo", "nro_chassi", "nro_documento"], flag="_repeated")
-    checked = lookup_join(checked, keys, ["nro_chassi", "nro_documento"], flag="_known")
-    checked = audit_rule_join(checked, fat, margin)
+    unloaded_flag = _named_keys(extraction).limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
+    checked = lookup_joins(rows, [
+        (_key_counts(rows), ["arquivo", "nro_chassi", "nro_documento"], "_repeated"),
+        (keys, ["nro_chassi", "nro_documento"], "_known"),
+    ])
+    checked = audit_rule_join(checked, fat, margin, hot_from=rows)
     per_row = checked.select("arquivo", "linha", F.inline(_row_issues())).select(
         "arquivo", F.col("linha").cast("bigint").alias("linha"), F.lit(_ERROR).alias("severidade"), "regra", "detalhe"
     )
     # An empty extraction is one issue of the file, not one of every row.
-    per_row = lookup_join(per_row.withColumn("_one", F.lit(True)), loaded, ["_one"], strategy="plain")
-    per_row = per_row.where(~((F.col("regra") == "Chave na extração") & F.col("_none"))).drop("_one", "_none")
+    per_row = attach_row(per_row, unloaded_flag)
+    per_row = per_row.where(~((F.col("regra") == "Chave na extração") & F.col("_none"))).drop("_none")
     whole = files.where(F.size("_missing") == 0)
     sentinel_issues = whole.select("arquivo", _sentinel_issue(F.col("_used"), F.col("_allowed"), sentinel).alias("i")).where(
         "i is not null"
     ).select("arquivo", no_line.alias("linha"), "i.severidade", "i.regra", "i.detalhe")
-    unloaded = lookup_join(whole.withColumn("_one", F.lit(True)), loaded, ["_one"], strategy="plain").where("_none").select(
+    unloaded = attach_row(whole, unloaded_flag).where("_none").select(
         "arquivo", no_line.alias("linha"), F.lit(_ERROR).alias("severidade"), F.lit("Extração atual").alias("regra"),
         F.lit("Nenhuma extração atual carregada para validar Chassi + Nro Documento.").alias("detalhe"),
     )

@@ -6,6 +6,7 @@ once per distinct key and reaches the rows through one lookup.
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payouts import schemas as S
 from payouts.functions import (
@@ -20,7 +21,7 @@ from payouts.functions import (
     strip,
     zfill,
 )
-from payouts.operators.joins import lookup_join
+from payouts.operators.joins import lookup_join, lookup_joins
 from payouts.operators.shape import is_text
 
 __all__ = [
@@ -197,17 +198,12 @@ def payment_eligibility(
     incentives: DataFrame,
     receivables: DataFrame,
     invoices: DataFrame,
-    hot_chassis: DataFrame | None = None,
-    hot_documents: DataFrame | None = None,
 ) -> DataFrame:
-    """Every row with its V1 and V2 result and the combined status.
-
-    ``hot_chassis`` and ``hot_documents`` take keys of :func:`hot_keys` when the caller
-    has them from a cheaper frame (columns ``chassi`` and ``documento``).
-    """
-    text_date = is_text(rows, "data_emissao")
+    """Every row with its V1 and V2 result and the combined status."""
+    text_date = isinstance(rows.schema["data_emissao"].dataType, T.StringType)
     day = parse_date_br(F.col("data_emissao"), text_date)
-    bad_date = day.isNull() & (strip(F.coalesce(F.col("data_emissao"), F.lit(""))) != "") if text_date else F.lit(False)
+    given_date = strip(F.coalesce(F.col("data_emissao"), F.lit("")))
+    bad_date = day.isNull() & (given_date != "") if text_date else F.lit(False)
     sale_class = strip(F.coalesce(F.col("classificacao_venda"), F.lit("")))
     document = F.when(~is_blank_key(F.col("nro_documento")), norm_document(F.col("nro_documento")))
     keyed = rows.withColumns(
@@ -227,8 +223,7 @@ def payment_eligibility(
     requests = keyed.where("documento is not null").select("documento", F.col("_day").alias("data")).distinct()
     v1 = incentive_lookup(incentives, receivables)
     v2 = _payment_results(requests, invoices, receivables)
-    joined = lookup_join(keyed, v1, ["chassi"], flag="_v1_found", hot=hot_chassis)
-    joined = lookup_join(joined, v2, ["documento", "dia"], flag="_v2_found", hot=hot_documents)
+    joined = lookup_joins(keyed, [(v1, ["chassi"], "_v1_found"), (v2, ["documento", "dia"], "_v2_found")])
 
     applies, has_chassis = F.col("_v1_applies"), F.col("chassi").isNotNull()
     v1_status = (
@@ -352,9 +347,11 @@ def key_match_check(
     known_chassis = incentives.select(F.upper(blank_to_null(F.col("chassi"))).alias("_chassis"))
     known_notes = invoices.select(F.upper(blank_to_null(F.col("nota_fiscal_numero"))).alias("_plain"))
     known_notes = known_notes.where("_plain is not null").distinct()
-    out = lookup_join(keyed, known_chassis.where("_chassis is not null").distinct(), ["_chassis"], flag="_c")
-    out = lookup_join(out, known_notes, ["_plain"], flag="_d1")
-    out = lookup_join(out, known_notes.withColumnRenamed("_plain", "_padded"), ["_padded"], flag="_d2")
+    out = lookup_joins(keyed, [
+        (known_chassis.where("_chassis is not null").distinct(), ["_chassis"], "_c"),
+        (known_notes, ["_plain"], "_d1"),
+        (known_notes.withColumnRenamed("_plain", "_padded"), ["_padded"], "_d2"),
+    ])
     return out.select(
         "filial",
         F.coalesce(F.col("nome_cliente"), F.lit("")).alias("cliente"),

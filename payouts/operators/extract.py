@@ -19,7 +19,7 @@ from payouts.functions import (
     parse_date_br,
     source_key,
 )
-from payouts.operators.joins import hot_keys, lookup_join
+from payouts.operators.joins import lookup_join, lookup_joins
 from payouts.operators.shape import is_text
 
 __all__ = [
@@ -160,16 +160,14 @@ def machine_base(sources: MachineSources, start: date, end: date) -> DataFrame:
             "_center": source_key(F.col("centro_custo")),
         }
     )
+    # Each lookup brings one row per key at most, so invoices never multiply.
     dims = {
         "_chassis": _chassis_dimension(sources.vehicles, sources.incentives),
         "_customer": dimension_dedup(sources.customers, "cliente_codigo", ["cliente_nome"], "_customer"),
         "_seller": dimension_dedup(sources.sellers, "vendedor_codigo", ["vendedor_nome"], "_seller"),
         "_center": dimension_dedup(sources.cost_centers, "centro_custo", ["lojas"], "_center"),
     }
-    rows = raw
-    for key, dim in dims.items():
-        # The hot keys come from the plain scan, not from the joins made so far.
-        rows = lookup_join(rows, dim, [key], hot=hot_keys(raw, [key]))
+    rows = lookup_joins(raw, [(dim, [key], None) for key, dim in dims.items()])
     incentive = F.coalesce(F.col("valor_incentivo"), F.lit(0.0))
     gross, margin, net = F.col("receita_bruta"), F.col("margem_rs"), F.col("receita_liquida")
     zero = F.lit(0.0)

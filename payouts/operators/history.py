@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payouts.functions import money_sum, norm_key, paid_status, source_key
-from payouts.operators.joins import lookup_join
+from payouts.operators.joins import hot_keys, lookup_join
 
 __all__ = [
     "excluded_join", "excluded_summary", "open_candidates", "paid_history_filter",
@@ -75,7 +75,9 @@ def _excluded_columns() -> list[Column]:
     return [count.alias("qtd_lancamentos_excluidos"), (count > 0).alias("bloqueado_exclusao")]
 
 
-def _join(rows: DataFrame, dim: DataFrame, added: list[Column], hot: DataFrame | None = None) -> DataFrame:
+def _join(rows: DataFrame, dim: DataFrame, added: list[Column], hot_from: DataFrame | None = None) -> DataFrame:
+    key = _chassis_key(F.col("nro_chassi")).alias("_chassis")
+    hot = hot_keys((hot_from or rows).select(key), ["_chassis"])
     keyed = rows.withColumn("_chassis", _chassis_key(F.col("nro_chassi")))
     return lookup_join(keyed, dim, ["_chassis"], hot=hot).select(*rows.columns, *added)
 
@@ -89,12 +91,12 @@ def excluded_join(rows: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def paid_history(
-    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None, hot: DataFrame | None = None
+    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None, hot_from: DataFrame | None = None
 ) -> DataFrame:
     """Rows with their history, status and blocking flags; one lookup serves both ledgers."""
     if paid is not None and excluded is not None:
         dim = _paid_dim(paid).join(_excluded_dim(excluded), "_chassis", "full_outer")
-        joined = _join(rows, dim, _paid_columns() + _excluded_columns(), hot)
+        joined = _join(rows, dim, _paid_columns() + _excluded_columns(), hot_from)
     else:
         joined = rows
         if paid is not None:
@@ -125,8 +127,8 @@ def open_candidates(history: DataFrame) -> DataFrame:
 
 
 def paid_history_filter(
-    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None = None, hot: DataFrame | None = None
+    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None = None, hot_from: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(open candidates, full history); rows with reversals stay open for review."""
-    full = paid_history(rows, paid, excluded, hot)
+    full = paid_history(rows, paid, excluded, hot_from)
     return open_candidates(full), full

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["first_per_key", "hot_keys", "lookup_join"]
+__all__ = ["attach_row", "first_per_key", "hot_keys", "lookup_join", "lookup_joins"]
 
 # At most this many keys are treated as hot, which bounds what the hot path broadcasts.
 MAX_HOT_KEYS = 256
@@ -79,6 +79,26 @@ def lookup_join(
     return out.select(*keep, *extra, *hit)
 
 
+def lookup_joins(
+    rows: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], str | None]], strategy: str = "auto"
+) -> DataFrame:
+    """Several lookups in a row, as (table, key columns, flag).
+
+    Hot keys are looked for in ``rows`` itself, not in the joins made so far, so the work
+    and the plan grow with the number of lookups and no faster.
+    """
+    out = rows
+    for dim, on, flag in lookups:
+        out = lookup_join(out, dim, on, flag=flag, hot=hot_keys(rows, on), strategy=strategy)
+    return out
+
+
+def attach_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Every row with the columns of a frame that has one row (an aggregate without keys)."""
+    single = F.broadcast(one_row.withColumn("_one", F.lit(True)))
+    return rows.withColumn("_one", F.lit(True)).join(single, "_one", "left").drop("_one")
+
+
 def first_per_key(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key under an explicit order.
 

@@ -16,7 +16,7 @@ from payouts.functions import (
     rate_read_target,
     strip,
 )
-from payouts.operators.joins import first_per_key, lookup_join
+from payouts.operators.joins import first_per_key, hot_keys, lookup_join
 from payouts.operators.shape import is_text, quoted, resolve_column
 
 __all__ = [
@@ -79,8 +79,13 @@ def calc_rate_table(rates: DataFrame, include_target: bool = False, order: Seque
     return first_per_key(prepared, ["modelo"], _stable_order(prepared, order)).select(*columns)
 
 
-def rate_lookup(rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame) -> DataFrame:
-    """Percent, target and rule-found flags of each row's model; unknown models get zero."""
+def rate_lookup(
+    rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame, hot_from: DataFrame | None = None
+) -> DataFrame:
+    """Percent, target and rule-found flags of each row's model; unknown models get zero.
+
+    ``hot_from`` is a cheaper frame of the same rows to look for hot models in.
+    """
     fat = calc_rate_table(fat_rates).select(
         F.col("modelo").alias("_model"), F.col("percentual").alias("_fat"), F.lit(True).alias("_has_fat")
     )
@@ -90,7 +95,8 @@ def rate_lookup(rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame)
     )
     rates = fat.join(margin, "_model", "full_outer")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
-    joined = lookup_join(rows.withColumn("_model", model), rates, ["_model"])
+    hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
+    joined = lookup_join(rows.withColumn("_model", model), rates, ["_model"], hot=hot)
     drop = [c for c in ("perc_comissao_fat", "meta_margem", "perc_comissao_margem") if c in rows.columns]
     return joined.drop(*drop).select(
         *[c for c in rows.columns if c not in drop],
@@ -102,9 +108,11 @@ def rate_lookup(rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame)
     )
 
 
-def commission_rules(rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame) -> DataFrame:
+def commission_rules(
+    rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFrame, hot_from: DataFrame | None = None
+) -> DataFrame:
     """Commission per row: model rates, then class overrides, then the margin trigger."""
-    rated = rate_lookup(rows, fat_rates, margin_rates)
+    rated = rate_lookup(rows, fat_rates, margin_rates, hot_from)
     gross = F.lit(0.0)
     if "receita_bruta" in rows.columns:
         gross = F.coalesce(parse_br_number(F.col("receita_bruta"), is_text(rows, "receita_bruta")), F.lit(0.0))
@@ -144,7 +152,7 @@ def commission_rules(rows: DataFrame, fat_rates: DataFrame, margin_rates: DataFr
     )
 
 
-def manager_lookup(rows: DataFrame, relations: DataFrame) -> DataFrame:
+def manager_lookup(rows: DataFrame, relations: DataFrame, hot_from: DataFrame | None = None) -> DataFrame:
     """Manager and manager percent of each row's seller.
 
     Columns the input already has keep their values; the relation only fills new ones.
@@ -172,8 +180,9 @@ def manager_lookup(rows: DataFrame, relations: DataFrame) -> DataFrame:
     share = F.col("_percent")
     if "perc_comissao_gerente" in rows.columns:
         share = F.col("perc_comissao_gerente").try_cast("double")
+    hot = hot_keys((hot_from or rows).select(F.nullif(code, F.lit("")).alias("_code")), ["_code"])
     return (
-        lookup_join(keyed, dim, ["_code"])
+        lookup_join(keyed, dim, ["_code"], hot=hot)
         .withColumns(
             {
                 "gerente": strip(F.coalesce(name, F.lit(""))),
@@ -184,7 +193,9 @@ def manager_lookup(rows: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
-def manager_commission(rows: DataFrame, relations: DataFrame | None) -> DataFrame:
+def manager_commission(
+    rows: DataFrame, relations: DataFrame | None, hot_from: DataFrame | None = None
+) -> DataFrame:
     """Manager share of the total commission; without relations it is zero."""
     if relations is None:
         code = norm_key(F.col("cod_vendedor")) if "cod_vendedor" in rows.columns else F.lit("")
@@ -201,7 +212,7 @@ def manager_commission(rows: DataFrame, relations: DataFrame | None) -> DataFram
     total = F.lit(0.0)
     if "valor_comissao_total" in rows.columns:
         total = F.coalesce(F.col("valor_comissao_total").try_cast("double"), F.lit(0.0))
-    return manager_lookup(rows, relations).withColumns(
+    return manager_lookup(rows, relations, hot_from).withColumns(
         {
             "valor_comissao_gerente": total * F.col("perc_comissao_gerente") / 100,
             "regra_gerente_encontrada": F.col("gerente") != "",

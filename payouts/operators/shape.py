@@ -30,7 +30,10 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def is_text(df: DataFrame, name: str) -> bool:
+def is_text(df: DataFrame, name: str) -> bool | Column:
+    """Whether a column holds text; decided per cell when a sheet reader noted its kinds."""
+    if f"{name}_numerico" in df.columns:
+        return ~F.col(f"{name}_numerico")
     return isinstance(df.schema[name].dataType, T.StringType)
 
 

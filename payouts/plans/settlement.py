@@ -25,8 +25,8 @@ def machine_settlement(
     The default rate, when asked for, applies to the open rows after everything else.
     """
     calculated = commission_rules(base, fat_rates, margin_rates)
-    calculated = manager_commission(calculated, managers)
-    candidates, full = paid_history_filter(calculated, paid, excluded)
+    calculated = manager_commission(calculated, managers, hot_from=base)
+    candidates, full = paid_history_filter(calculated, paid, excluded, hot_from=base)
     return (default_fat_rate(candidates) if default_rate else candidates), full
 
 

@@ -64,11 +64,11 @@ def prepare_ledger_rows(rows: DataFrame, period: dict[str, Column], percent_mode
             return F.lit(None).cast(S.LEDGER_SCHEMA[name].dataType)
         c, text = F.col(name), is_text(source, name)
         if name == "data_emissao":
-            return parse_date_br(c, text)
+            return parse_date_br(c, isinstance(source.schema[name].dataType, T.StringType))
         if name in S.LEDGER_AMOUNTS:
             return parse_br_number(c, text)
         if name in S.LEDGER_PERCENTS:
-            if percent_mode == "points" and not text:
+            if percent_mode == "points" and text is False:
                 return F.coalesce(c.try_cast("double"), F.lit(0.0))
             parser = parse_margin_points if name == "meta_margem" else parse_percent_points
             return parser(c, text)
@@ -89,10 +89,11 @@ def _as_ledger(prepared: DataFrame) -> DataFrame:
 def _append(prepared: DataFrame, path: str) -> int:
     """Append in one job; the row count is observed while writing.
 
-    Rows are clustered by competence, with a spread so that one month may fill many files.
+    The rebalance gathers each competence in few files and splits one that is too big.
     """
     seen = Observation("ledger_append")
     rows = _as_ledger(prepared).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = rows.hint("rebalance", *[F.col(c) for c in S.LEDGER_PARTITIONS])
     rows.write.mode("append").partitionBy(*S.LEDGER_PARTITIONS).parquet(path)
     return int(seen.get["rows"])
 
