@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payouts.schemas import DOCUMENT_WIDTH
 
@@ -60,7 +61,7 @@ def fold_text(c: Column) -> Column:
     return F.upper(F.translate(stripped, _ACCENTED, _PLAIN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(values: pd.Series) -> pd.Series:
     def bare(text: str) -> str:
         return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))

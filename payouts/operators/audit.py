@@ -20,7 +20,7 @@ from payouts.functions import (
     parse_commission_points,
     parse_margin_points,
 )
-from payouts.operators.joins import attach_row, hot_keys, lookup_join, lookup_joins
+from payouts.operators.joins import attach_row, hot_keys, lookup_join, lookup_joins, merge_by_key
 from payouts.operators.shape import is_text, normalize_report_rows, quoted, resolve_column
 
 __all__ = [
@@ -113,14 +113,14 @@ def audit_rows(sheets: DataFrame) -> DataFrame:
     rows = normalize_report_rows(sheets)
     parsed = {c: parse_br_number(F.col(c), is_text(rows, c)) for c in _AMOUNTS if c in rows.columns}
     parsed |= {c: parse(F.col(c), is_text(rows, c)) for c, parse in _POINTS.items() if c in rows.columns}
-    return rows.withColumns(parsed)
+    return rows.withColumns(parsed).drop(*[f"{c}_numerico" for c in parsed])
 
 
 def audit_rule_join(
     rows: DataFrame, fat: DataFrame, margin: DataFrame, hot_from: DataFrame | None = None
 ) -> DataFrame:
     """Rows with the allowed percents and targets of their model, empty when it has no rule."""
-    rules = fat.join(margin, "modelo", "full_outer").withColumnRenamed("modelo", "_model")
+    rules = merge_by_key(fat, margin, "modelo").withColumnRenamed("modelo", "_model")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
     hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
     joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"], hot=hot)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payouts.functions import money_sum, norm_key, paid_status, source_key
-from payouts.operators.joins import hot_keys, lookup_join
+from payouts.operators.joins import hot_keys, lookup_join, merge_by_key
 
 __all__ = [
     "excluded_join", "excluded_summary", "open_candidates", "paid_history_filter",
@@ -95,7 +95,7 @@ def paid_history(
 ) -> DataFrame:
     """Rows with their history, status and blocking flags; one lookup serves both ledgers."""
     if paid is not None and excluded is not None:
-        dim = _paid_dim(paid).join(_excluded_dim(excluded), "_chassis", "full_outer")
+        dim = merge_by_key(_paid_dim(paid), _excluded_dim(excluded), "_chassis")
         joined = _join(rows, dim, _paid_columns() + _excluded_columns(), hot_from)
     else:
         joined = rows

@@ -16,7 +16,7 @@ from payouts.functions import (
     rate_read_target,
     strip,
 )
-from payouts.operators.joins import first_per_key, hot_keys, lookup_join
+from payouts.operators.joins import first_per_key, hot_keys, lookup_join, merge_by_key
 from payouts.operators.shape import is_text, quoted, resolve_column
 
 __all__ = [
@@ -93,7 +93,7 @@ def rate_lookup(
         F.col("modelo").alias("_model"), F.col("percentual").alias("_margin"),
         F.col("meta_margem").alias("_target"), F.lit(True).alias("_has_margin"),
     )
-    rates = fat.join(margin, "_model", "full_outer")
+    rates = merge_by_key(fat, margin, "_model")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
     hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
     joined = lookup_join(rows.withColumn("_model", model), rates, ["_model"], hot=hot)

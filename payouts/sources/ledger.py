@@ -150,12 +150,12 @@ def _log_columns(kind: str) -> dict[str, str]:
     return {**base, "row_seq": "bigint", **_LOG}
 
 
-def _log_schema(kind: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in _log_columns(kind).items()])
+def _log_ddl(kind: str) -> str:
+    return ", ".join(f"{n} {t}" for n, t in _log_columns(kind).items())
 
 
 def _read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(_log_schema(kind)).parquet(path)
+    return spark.read.schema(_log_ddl(kind)).parquet(path)
 
 
 def append_rules(prepared: DataFrame, path: str, kind: str, op: str, batch_id: int) -> int:
@@ -202,8 +202,7 @@ def create_ledger_table(spark: SparkSession, name: str) -> None:
 
 
 def create_rule_table(spark: SparkSession, name: str, kind: str) -> None:
-    fields = ", ".join(f"{n} {t}" for n, t in _log_columns(kind).items())
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_log_ddl(kind)}) USING parquet")
 
 
 def evolve_table(spark: SparkSession, name: str, columns: dict[str, str]) -> list[str]:

@@ -28,6 +28,12 @@ class Star:
 
     # Keys ---------------------------------------------------------------------------
 
+    @staticmethod
+    def row_id() -> Column:
+        """Stable id of a line item: order, line, then what sets apart lines of one number."""
+        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+
     @staticmethod
     def _note(key: str) -> Column:
         text = F.col(key).cast("string")
@@ -48,7 +54,6 @@ class Star:
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
         suppliers = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "s_name")
-        row_id = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         gross = F.col("l_extendedprice") * 4.0
         chassis = (
             F.when(F.col("l_partkey") % 97 == 0, "")
@@ -60,7 +65,7 @@ class Star:
             .join(orders, "l_orderkey")
             .join(parts, "l_partkey")
             .join(suppliers, "l_suppkey")
-            .withColumns({"row_id": row_id, "gross": gross, "chassi": chassis, "ship": F.col("l_shipdate").cast("date")})
+            .withColumns({"row_id": self.row_id(), "gross": gross, "chassi": chassis, "ship": F.col("l_shipdate").cast("date")})
         )
 
     def _invoice_columns(self) -> list[Column]:
@@ -298,8 +303,8 @@ class Star:
 
         Gross revenue is Brazilian text, the rest numbers; one file lacks a header.
         """
-        order = F.substring_index("row_id", "-", 1).cast("bigint")
-        line = F.substring_index("row_id", "-", -1).cast("bigint")
+        order = F.split_part("row_id", F.lit("-"), F.lit(1)).cast("bigint")
+        line = F.split_part("row_id", F.lit("-"), F.lit(2)).cast("bigint")
 
         def fault(k: int) -> Column:
             return F.col("_o") % k == 0
@@ -335,6 +340,6 @@ class Star:
 
     def selection(self) -> DataFrame:
         """Marks on line items: paid and excluded rows, some marked both ways."""
-        key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         pay, drop = F.col("l_orderkey") % 4 == 0, F.col("l_partkey") % 9 == 0
-        return self.table("lineitem").where(pay | drop).select(key.alias("row_id"), pay.alias("pagar"), drop.alias("excluir"))
+        return self.table("lineitem").where(pay | drop).select(
+            self.row_id().alias("row_id"), pay.alias("pagar"), drop.alias("excluir"))
