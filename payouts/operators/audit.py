@@ -20,7 +20,7 @@ from payouts.functions import (
     parse_commission_points,
     parse_margin_points,
 )
-from payouts.operators.joins import attach_row, hot_keys, lookup_join, lookup_joins, merge_by_key
+from payouts.operators.joins import attach_row, lookup_join, lookup_joins, merge_by_key
 from payouts.operators.shape import is_text, normalize_report_rows, quoted, resolve_column
 
 __all__ = [
@@ -122,8 +122,8 @@ def audit_rule_join(
     """Rows with the allowed percents and targets of their model, empty when it has no rule."""
     rules = merge_by_key(fat, margin, "modelo").withColumnRenamed("modelo", "_model")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
-    hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
-    joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"], hot=hot)
+    source = None if hot_from is None else hot_from.select(model.alias("_model"))
+    joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"], hot_from=source)
     empty = F.array().cast("array<double>")
     sets = ("percentuais_fat", "percentuais_margem", "metas")
     return joined.withColumns({c: F.coalesce(F.col(c), empty) for c in sets}).drop("_model")

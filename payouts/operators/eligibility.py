@@ -114,38 +114,33 @@ def invoice_lookup(requests: DataFrame, invoices: DataFrame) -> DataFrame:
     the lowest customer. Requests must be distinct; those that find nothing are absent.
     """
     issued = parse_date_br(F.col("data_emissao"), is_text(invoices, "data_emissao"))
-    note = F.trim("nota_fiscal_numero")
     order = F.coalesce(issued, F.lit(_FAR).cast("date"))
-    best = F.struct(
-        order.alias("ordem"), F.trim("cliente_codigo").alias("cliente"), note.alias("nota"), issued.alias("data_fat")
-    )
-    dated = F.concat(_key(note), F.lit("\x1f"), issued.cast("string"))
-    undated = F.concat(_key(note), F.lit("\x1f*"))
-    targets = (
-        invoices.select(best.alias("_best"), F.explode(F.array(dated, undated)).alias("_target"))
-        .where("_target is not null")
-        .groupBy("_target")
+    best = F.struct(order.alias("ordem"), F.trim("cliente_codigo").alias("cliente"),
+                    F.trim("nota_fiscal_numero").alias("nota"), issued.alias("data_fat"))
+    by_day = (
+        invoices.select(_key(F.col("nota_fiscal_numero")).alias("_note"), issued.alias("data"), best.alias("_best"))
+        .where("_note is not null")
+        .groupBy("_note", "data")
         .agg(F.min("_best").alias("_best"))
     )
+    by_note = by_day.groupBy("_note").agg(F.min("_best").alias("_first"))
+
+    # Any invoice under the plain number beats all under the padded one, so the number is
+    # settled per document; keys are distinct on both sides and need no care for hot ones.
     plain, padded = F.upper("documento"), F.upper(zfill(F.col("documento")))
-    day = F.col("data").cast("string")
-    tries = [
-        (1, F.concat(plain, F.lit("\x1f"), day)),
-        (2, F.concat(plain, F.lit("\x1f*"))),
-        (3, F.when(padded != plain, F.concat(padded, F.lit("\x1f"), day))),
-        (4, F.when(padded != plain, F.concat(padded, F.lit("\x1f*")))),
-    ]
-    options = F.array(*[F.struct(F.lit(p).alias("prioridade"), k.alias("alvo")) for p, k in tries])
-    asked = requests.select("documento", "data", F.inline(options)).where("alvo is not null")
-    hits = lookup_join(asked.withColumnRenamed("alvo", "_target"), targets, ["_target"]).where("_best is not null")
-    first = F.min(F.struct("prioridade", "_best")).alias("_first")
-    return hits.groupBy("documento", "data").agg(first).select(
-        "documento",
-        "data",
-        F.col("_first._best.cliente").alias("cliente"),
-        F.col("_first._best.nota").alias("nota"),
-        F.col("_first._best.data_fat").alias("data_fat"),
+    tries = F.array(
+        F.struct(F.lit(1).alias("_try"), plain.alias("_note")),
+        F.struct(F.lit(2).alias("_try"), F.when(padded != plain, padded).alias("_note")),
+    )
+    asked = requests.select("documento").distinct().select("documento", F.inline(tries))
+    numbered = asked.join(by_note, "_note").groupBy("documento").agg(
+        F.min(F.struct("_try", "_note", "_first")).alias("_n")
+    )
+    settled = requests.join(numbered, "documento").select(
+        "documento", "data", F.col("_n._note").alias("_note"), F.col("_n._first").alias("_first")
     )
+    found = settled.join(by_day, ["_note", "data"], "left").withColumn("_hit", F.coalesce("_best", "_first"))
+    return found.select("documento", "data", "_hit.cliente", "_hit.nota", "_hit.data_fat")
 
 
 def _payment_results(requests: DataFrame, invoices: DataFrame, receivables: DataFrame) -> DataFrame:
@@ -155,7 +150,8 @@ def _payment_results(requests: DataFrame, invoices: DataFrame, receivables: Data
         .withColumns({"_cliente": F.upper("cliente"), "_titulo": F.upper("nota")})
     )
     balances = receivable_lookup(receivables).withColumnsRenamed({"cliente": "_cliente", "titulo": "_titulo"})
-    joined = lookup_join(found, balances, ["_cliente", "_titulo"], flag="_has_title")
+    joined = found.join(balances.withColumn("_known", F.lit(True)), ["_cliente", "_titulo"], "left")
+    joined = joined.withColumn("_has_title", F.coalesce("_known", F.lit(False)))
     balance, note, customer = F.col("saldo"), F.col("nota"), F.col("cliente")
     settled = is_settled(balance)
     only_bl = (F.col("qtd_pendentes") > 0) & (F.col("qtd_pendentes_fora_bl") == 0)

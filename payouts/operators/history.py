@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payouts.functions import money_sum, norm_key, paid_status, source_key
-from payouts.operators.joins import hot_keys, lookup_join, merge_by_key
+from payouts.operators.joins import lookup_join, merge_by_key
 
 __all__ = [
     "excluded_join", "excluded_summary", "open_candidates", "paid_history_filter",
@@ -77,9 +77,9 @@ def _excluded_columns() -> list[Column]:
 
 def _join(rows: DataFrame, dim: DataFrame, added: list[Column], hot_from: DataFrame | None = None) -> DataFrame:
     key = _chassis_key(F.col("nro_chassi")).alias("_chassis")
-    hot = hot_keys((hot_from or rows).select(key), ["_chassis"])
+    source = None if hot_from is None else hot_from.select(key)
     keyed = rows.withColumn("_chassis", _chassis_key(F.col("nro_chassi")))
-    return lookup_join(keyed, dim, ["_chassis"], hot=hot).select(*rows.columns, *added)
+    return lookup_join(keyed, dim, ["_chassis"], hot_from=source).select(*rows.columns, *added)
 
 
 def paid_history_join(rows: DataFrame, paid: DataFrame) -> DataFrame:

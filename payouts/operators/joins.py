@@ -41,7 +41,7 @@ def lookup_join(
     dim: DataFrame,
     on: Sequence[str],
     flag: str | None = None,
-    hot: DataFrame | None = None,
+    hot_from: DataFrame | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
     """Left join to a table that has one row per key; every input row comes back once.
@@ -50,7 +50,7 @@ def lookup_join(
     that, rows with hot keys meet their at most MAX_HOT_KEYS table rows map-side, and the
     rest is shuffled by key; hot and NULL-key rows travel under spread-out filler keys
     that match nothing. ``flag`` names an optional column telling whether a row matched.
-    ``hot`` passes keys already found by :func:`hot_keys`.
+    ``hot_from`` is a cheaper frame with the same keys to look for hot ones in.
     """
     values = [c for c in dim.columns if c not in on]
     matched = flag or "_matched"
@@ -61,8 +61,11 @@ def lookup_join(
         extra = [F.col(c) for c in values]
         return out.select(*keep, *extra, *([F.coalesce(F.col(flag), F.lit(False)).alias(flag)] if flag else []))
 
-    hot = hot_keys(rows, on) if hot is None else hot
-    packed = dim.select(_key_text(on).alias("_dim_key"), F.struct(F.lit(True).alias("_m"), *values).alias("_dim"))
+    hot = hot_keys(rows if hot_from is None else hot_from, on)
+    # One exchange by key, which both uses of the table share.
+    packed = dim.select(
+        _key_text(on).alias("_dim_key"), F.struct(F.lit(True).alias("_m"), *values).alias("_dim")
+    ).repartition("_dim_key")
     near = packed.join(F.broadcast(hot), F.col("_dim_key") == F.col("_hot_key"), "left_semi")
     near = hot.join(F.broadcast(near), F.col("_hot_key") == F.col("_dim_key"), "left").select(
         "_hot_key", F.col("_dim").alias("_hot_dim")
@@ -89,7 +92,7 @@ def lookup_joins(
     """
     out = rows
     for dim, on, flag in lookups:
-        out = lookup_join(out, dim, on, flag=flag, hot=hot_keys(rows, on), strategy=strategy)
+        out = lookup_join(out, dim, on, flag=flag, hot_from=rows, strategy=strategy)
     return out
 
 

@@ -16,7 +16,7 @@ from payouts.functions import (
     rate_read_target,
     strip,
 )
-from payouts.operators.joins import first_per_key, hot_keys, lookup_join, merge_by_key
+from payouts.operators.joins import first_per_key, lookup_join, merge_by_key
 from payouts.operators.shape import is_text, quoted, resolve_column
 
 __all__ = [
@@ -95,8 +95,8 @@ def rate_lookup(
     )
     rates = merge_by_key(fat, margin, "_model")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
-    hot = hot_keys((hot_from or rows).select(model.alias("_model")), ["_model"])
-    joined = lookup_join(rows.withColumn("_model", model), rates, ["_model"], hot=hot)
+    source = None if hot_from is None else hot_from.select(model.alias("_model"))
+    joined = lookup_join(rows.withColumn("_model", model), rates, ["_model"], hot_from=source)
     drop = [c for c in ("perc_comissao_fat", "meta_margem", "perc_comissao_margem") if c in rows.columns]
     return joined.drop(*drop).select(
         *[c for c in rows.columns if c not in drop],
@@ -180,9 +180,9 @@ def manager_lookup(rows: DataFrame, relations: DataFrame, hot_from: DataFrame |
     share = F.col("_percent")
     if "perc_comissao_gerente" in rows.columns:
         share = F.col("perc_comissao_gerente").try_cast("double")
-    hot = hot_keys((hot_from or rows).select(F.nullif(code, F.lit("")).alias("_code")), ["_code"])
+    source = None if hot_from is None else hot_from.select(F.nullif(code, F.lit("")).alias("_code"))
     return (
-        lookup_join(keyed, dim, ["_code"], hot=hot)
+        lookup_join(keyed, dim, ["_code"], hot_from=source)
         .withColumns(
             {
                 "gerente": strip(F.coalesce(name, F.lit(""))),

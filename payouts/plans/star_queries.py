@@ -6,6 +6,7 @@ totals rounded to cents.
 
 from collections.abc import Callable
 from datetime import date
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,28 +50,36 @@ class Frames:
         self.spark = spark
         self.star = Star(spark, folder)
 
+    @cache
     def base(self) -> DataFrame:
         return X.machine_base(self.star.machine_sources(), START, END)
 
+    @cache
     def fat(self) -> DataFrame:
         return U.latest_fat_rates(self.star.fat_rates())
 
+    @cache
     def margin(self) -> DataFrame:
         return U.latest_margin_rates(self.star.margin_rates())
 
+    @cache
     def managers(self) -> DataFrame:
         return U.latest_managers(self.star.manager_relations())
 
+    @cache
     def calculated(self, base: DataFrame | None = None) -> DataFrame:
         return U.commission_rules(self.base() if base is None else base, self.fat(), self.margin())
 
+    @cache
     def managed(self) -> DataFrame:
         base = self.base()
         return U.manager_commission(self.calculated(base), self.managers(), hot_from=base)
 
+    @cache
     def paid(self) -> DataFrame:
         return H.paid_summary(self.star.paid_ledger())
 
+    @cache
     def excluded(self) -> DataFrame:
         return H.excluded_summary(self.star.excluded_ledger())
 
@@ -133,7 +142,7 @@ def line_text() -> dict[str, Column]:
 @query
 def scan_source(x: Frames) -> DataFrame:
     names = {v: k for k, v in S.SOURCE_COLUMNS["billing"].items()}
-    return normalize_source(x.star.billing().withColumnsRenamed(names), "billing")
+    return normalize_source(x.star.billing(typed=False).withColumnsRenamed(names), "billing")
 
 
 @query
@@ -475,7 +484,7 @@ def resolve_column(x: Frames) -> DataFrame:
 
 @query
 def window_filter(x: Frames) -> DataFrame:
-    rows = X.window_filter(x.star.billing(), PERIOD_START, PERIOD_END)
+    rows = X.window_filter(x.star.billing(typed=False), PERIOD_START, PERIOD_END)
     return rows.select("row_id", "data_emissao", "valor_total")
 
 

@@ -4,7 +4,7 @@ Line items become invoices and returns, parts become machines. Conditions on key
 plant the cases the rules tell apart (missing titles, returns, blank keys and the like).
 """
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +23,22 @@ class Star:
         self.spark = spark
         self.folder = folder
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cache
+    def line_items(self) -> DataFrame:
+        """Line items; an input of fewer splits than cores is spread over them first.
+
+        At scale the scan has far more splits than cores and nothing is shuffled.
+        """
+        items = self.table("lineitem")
+        cores = self.spark.sparkContext.defaultParallelism
+        if items.rdd.getNumPartitions() >= cores:
+            return items
+        return items.repartition(cores, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
     # Keys ---------------------------------------------------------------------------
 
     @staticmethod
@@ -49,6 +62,7 @@ class Star:
 
     # Sources ------------------------------------------------------------------------
 
+    @cache
     def lines(self) -> DataFrame:
         """Line items with order, part and supplier attributes and a stable row id."""
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -61,14 +75,14 @@ class Star:
             .otherwise(F.concat(F.lit("CH"), F.col("l_partkey")))
         )
         return (
-            self.table("lineitem")
+            self.line_items()
             .join(orders, "l_orderkey")
             .join(parts, "l_partkey")
             .join(suppliers, "l_suppkey")
             .withColumns({"row_id": self.row_id(), "gross": gross, "chassi": chassis, "ship": F.col("l_shipdate").cast("date")})
         )
 
-    def _invoice_columns(self) -> list[Column]:
+    def _invoice_columns(self, typed: bool) -> list[Column]:
         part = F.col("l_partkey")
         cost = F.col("gross") * ((part % 30) / 100 + 0.7)
         sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), -F.col("gross"))
@@ -77,7 +91,7 @@ class Star:
         )
         return [
             F.col("s_nationkey").cast("string").alias("centro_custo"),
-            F.date_format("ship", "dd/MM/yyyy").alias("data_emissao"),
+            (F.col("ship") if typed else F.date_format("ship", "dd/MM/yyyy")).alias("data_emissao"),
             self._note("l_orderkey").alias("nota_fiscal_numero"),
             "chassi",
             F.concat(F.lit("C"), F.col("o_custkey")).alias("cliente_codigo"),
@@ -89,13 +103,17 @@ class Star:
             "row_id",
         ]
 
-    def billing(self) -> DataFrame:
+    @cache
+    def billing(self, typed: bool = True) -> DataFrame:
+        """Invoices; ``typed`` gives issue dates as an ingested table has them, else as source text."""
         net = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("gross") * (F.lit(1.0) - F.col("l_discount")))
-        return self.lines().where("l_returnflag <> 'R'").select(*self._invoice_columns(), net.alias("valor_venda_liquida"))
+        return self.lines().where("l_returnflag <> 'R'").select(*self._invoice_columns(typed), net.alias("valor_venda_liquida"))
 
-    def returns(self) -> DataFrame:
-        return self.lines().where("l_returnflag = 'R'").select(*self._invoice_columns())
+    @cache
+    def returns(self, typed: bool = True) -> DataFrame:
+        return self.lines().where("l_returnflag = 'R'").select(*self._invoice_columns(typed))
 
+    @cache
     def incentives(self) -> DataFrame:
         part = self.table("part")
         key = F.col("p_partkey")
@@ -109,6 +127,7 @@ class Star:
         )
         return main.unionByName(second)
 
+    @cache
     def receivables(self) -> DataFrame:
         orders = self.table("orders").where(F.col("o_orderkey") % 11 != 0)
         digit = F.substring("o_orderpriority", 1, 1)
@@ -135,6 +154,7 @@ class Star:
         )
         return first.unionByName(second).unionByName(factory)
 
+    @cache
     def invoices(self) -> DataFrame:
         last = self.table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("ship"))
         orders = self.table("orders").where(F.col("o_orderkey") % 13 != 0)
@@ -144,6 +164,7 @@ class Star:
             F.concat(F.lit("C"), F.col("o_custkey")).alias("cliente_codigo"),
         )
 
+    @cache
     def vehicles(self) -> DataFrame:
         size = F.col("p_size") % 3
         return self.table("part").select(
@@ -189,6 +210,7 @@ class Star:
     def _brands(self) -> DataFrame:
         return self.table("part").select("p_brand").distinct().withColumn("n", self._brand_number())
 
+    @cache
     def fat_rates(self) -> DataFrame:
         """Billing rates with older versions of even models and a newer inactive row."""
         n = F.col("n")
@@ -200,6 +222,7 @@ class Star:
             self._rule(brands.where(n == 3), F.lit(0.7), False, "2025-01-01"),
         ])
 
+    @cache
     def margin_rates(self) -> DataFrame:
         n = F.col("n")
         brands = self._brands().where("n <> 25")
@@ -210,6 +233,7 @@ class Star:
             self._rule(brands.where(n % 4 == 0), F.lit(0.5), True, "2023-01-01", meta_margem=F.lit(20.0)),
         ])
 
+    @cache
     def manager_relations(self) -> DataFrame:
         key = F.col("s_suppkey")
         suppliers = self.table("supplier").where(key % 10 != 0).join(
@@ -232,6 +256,7 @@ class Star:
 
     # Ledgers ------------------------------------------------------------------------
 
+    @cache
     def paid_ledger(self) -> DataFrame:
         """Payments of closed lines, reversals, and special entries per part."""
         part, line = F.col("l_partkey"), F.col("l_linenumber")
@@ -290,6 +315,7 @@ class Star:
             F.col("_p.end_date").cast("timestamp").alias("paid_at"),
         )
 
+    @cache
     def excluded_ledger(self) -> DataFrame:
         return self.table("part").where("p_partkey % 41 = 0").select(
             F.concat(F.lit("ch"), F.col("p_partkey"), F.lit(" ")).alias("nro_chassi"),
@@ -338,6 +364,7 @@ class Star:
             *[c for c in S.AUDIT_REQUIRED if c not in ("modelo", "nro_chassi", "nro_documento", "receita_bruta")],
         )
 
+    @cache
     def selection(self) -> DataFrame:
         """Marks on line items: paid and excluded rows, some marked both ways."""
         pay, drop = F.col("l_orderkey") % 4 == 0, F.col("l_partkey") % 9 == 0
