@@ -62,10 +62,9 @@ def lookup_join(
         return out.select(*keep, *extra, *([F.coalesce(F.col(flag), F.lit(False)).alias(flag)] if flag else []))
 
     hot = hot_keys(rows if hot_from is None else hot_from, on)
-    # One exchange by key, which both uses of the table share.
-    packed = dim.select(
-        _key_text(on).alias("_dim_key"), F.struct(F.lit(True).alias("_m"), *values).alias("_dim")
-    ).repartition("_dim_key")
+    packed = dim.select(_key_text(on).alias("_dim_key"), F.struct(F.lit(True).alias("_m"), *values).alias("_dim"))
+    # Spark moves this semi join below the table's own joins and sums, so the hot part of the
+    # table is worked out from its hot rows alone.
     near = packed.join(F.broadcast(hot), F.col("_dim_key") == F.col("_hot_key"), "left_semi")
     near = hot.join(F.broadcast(near), F.col("_hot_key") == F.col("_dim_key"), "left").select(
         "_hot_key", F.col("_dim").alias("_hot_dim")

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,16 +11,18 @@ __all__ = ["shared_path", "stage"]
 _FOLDER = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="payouts-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder every executor can reach.
 
     The cluster names that folder in spark.checkpoint.dir; only where it is unset, as in
     tests on one machine, a temporary folder takes its place.
     """
-    folder = spark.conf.get(_FOLDER, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="payouts-")
-        spark.conf.set(_FOLDER, folder)
+    folder = spark.conf.get(_FOLDER, None) or _local_folder()
     return f"{folder.rstrip('/')}/payouts/{uuid.uuid4().hex}/{name}"
 
 
