@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join
+from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, language_codes, toxicity
 from payouts.llm.common import new_folder, table
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = toxicity.held_out("doc_id", 3, 1)
+    model = language_codes.train(docs, ~held)
+    return language_codes.identified(docs, model).withColumn("held_out", held)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, folder, "documents"))
 
@@ -28,11 +35,18 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.exact_groups(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~toxicity.held_out("label_id", 4, 2))
+    scored = toxicity.scored(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op9_decontamination)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
