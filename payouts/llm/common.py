@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,13 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame from files in the shared folder, so that a lost executor costs no recomputation.
 
-    Spark's cleaner removes the files when the frame is no longer in use.
+    Spark's cleaner removes those files, and the shuffle files behind them, when the driver's garbage collector finds
+    that they are no longer in use; it is called here, as a driver that only plans has little garbage of its own.
     """
     context = frame.sparkSession.sparkContext
     folder = shared_folder(frame.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    done = frame.checkpoint(eager=True)
+    del frame
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, language_codes, toxicity
+from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, katz, language_codes, pieces, toxicity
 from payouts.llm.common import new_folder, table
 
 
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_codes.identified(docs, model).withColumn("held_out", held)
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.decoded(pieces.encoded(docs)))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, folder, "documents"))
 
@@ -46,7 +51,12 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op9_decontamination)}
+def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return katz.scored(docs, toxicity.held_out("doc_id", 5, 1))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op9_decontamination, op10_katz_backoff)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
