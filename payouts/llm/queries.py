@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, katz, language_codes, pieces, toxicity
+from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, katz, language_codes, license_windows, pieces, style_tree, toxicity
 from payouts.llm.common import new_folder, table
 
 
@@ -47,6 +47,15 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_windows.scanned(table(spark, folder, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = style_tree.extracted(table(spark, folder, "pages"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -56,7 +65,7 @@ def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return katz.scored(docs, toxicity.held_out("doc_id", 5, 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op9_decontamination, op10_katz_backoff)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_katz_backoff)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
