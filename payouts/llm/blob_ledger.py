@@ -95,16 +95,16 @@ def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, .
     return todo.select("blob", F.explode_outer(F.array(*results)).alias("x")).filter(F.col("x").isNotNull()).select("blob", "x.kind", "x.version", "x.spans")
 
 
-def scan(docs: DataFrame, ledger_path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows with their columns, `blob`, and `findings`: a map from kind to spans.
+def scan(docs: DataFrame, ledger_path: str, identifier: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row for each row: its identifier, `blob`, and `findings`, a map from kind to spans.
 
     Scans what the ledger at this path lacks and appends it there. The append is one atomic write of new files, so a
     run that is broken off adds nothing.
     """
     spark = docs.sparkSession
-    addressed = docs.withColumn("blob", F.sha2(text_of(text), 256))
+    addressed = docs.select(F.col(identifier).alias("id"), F.sha2(text_of(text), 256).alias("blob"))
     ledger = _ledger(spark, ledger_path)
-    blobs = addressed.select("blob", text_of(text).alias("text"))
+    blobs = docs.select(F.sha2(text_of(text), 256).alias("blob"), text_of(text).alias("text"))
     if ledger is not None:  # blobs known under every rule version need no text
         known = ledger.filter(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
         full = known.groupBy("blob").agg(F.count_distinct("kind").alias("n")).filter(F.col("n") == len(rules))
@@ -113,7 +113,8 @@ def scan(docs: DataFrame, ledger_path: str, text: str = "text", rules: tuple[Rul
     current = [f"{r.kind}:{r.version}" for r in rules]
     found = spark.read.parquet(ledger_path).filter((F.size("spans") > 0) & F.concat_ws(":", "kind", "version").isin(current))
     by_blob = found.groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("kind", "spans"))).alias("findings"))  # one entry a rule
-    return addressed.join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", F.create_map().cast(f"map<string,array<{SPAN}>>")))
+    none = F.create_map().cast(f"map<string,array<{SPAN}>>")
+    return addressed.join(by_blob, "blob", "left").select(F.col("id").alias(identifier), "blob", F.coalesce("findings", none).alias("findings"))
 
 
 def _labelled(place: int, kind: str):

@@ -88,6 +88,33 @@ def _before(widths: list[int], width: int) -> Column:
     return out
 
 
+#: The same words in a text as it is.
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows without hits, with all their columns."""
+    bad = hits(docs, benchmark, identifier, text, **options).filter(F.size("covered") > 0).select("id", "text_hash").distinct()
+    same = docs[identifier].eqNullSafe(bad["id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")
+
+
+def clean_spans(docs: DataFrame, benchmark: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All rows with all their columns; hit words, and what lies between two of them, are cut out of the texts."""
+    bad = hits(docs, benchmark, identifier, text, **options).filter(F.size("covered") > 0).select("id", "text_hash", "covered").dropDuplicates(["id", "text_hash"])
+    same = docs[identifier].eqNullSafe(bad["id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["text_hash"])
+    own, covered = docs[text], bad["covered"]
+    between, found = F.split(own, _RAW_WORD, -1), F.regexp_extract_all(own, F.lit(_RAW_WORD), F.lit(0))
+
+    def kept(word: Column, i: Column) -> Column:
+        hit, before = F.array_contains(covered, i + 1), F.array_contains(covered, i)
+        return F.concat(F.when(hit & before, F.lit("")).otherwise(F.get(between, i)), F.when(hit, F.lit("")).otherwise(word))
+
+    cleaned = F.concat(F.array_join(F.transform(found, kept), ""), F.element_at(between, -1))
+    columns = [F.when(covered.isNotNull(), cleaned).otherwise(own).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
+    return docs.join(bad, same, "left").select(*columns)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row for each row: the identifier, `n_words`, `n_hit`, `n_items`,
     `items_sha256`, `contaminated`."""

@@ -313,7 +313,7 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return "".join(pieces).replace(SPACE, " ")[1:]
 
 
-def _encoded(path: str, text: str, keep: list[str]):
+def _encoded(path: str, text: str, keep: list[str], name: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
@@ -323,35 +323,35 @@ def _encoded(path: str, text: str, keep: list[str]):
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(f) // 4 for f in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids_of_text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, name])
 
     return walk
 
 
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with the identifiers of their texts. Raises if the name for them is taken."""
-    if fresh(docs, ids) != [ids]:
-        raise ValueError(f"the documents already have a column {ids}")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "`ids_of_text` array<int>"])
-    return docs.mapInArrow(_encoded(path or default_model(), text, docs.columns), kinds).withColumnRenamed("ids_of_text", ids)
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """The rows with the identifiers of their texts as the last column: `ids`, or with underscores before where that
+    is taken."""
+    name = fresh(docs, "ids")[0]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` array<int>"])
+    return docs.mapInArrow(_encoded(path or default_model(), text, docs.columns, name), kinds)
 
 
-def _decoded(path: str, ids: str):
+def _decoded(path: str, ids: str, name: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(path)
         for batch in batches:
             texts = [None if x is None else decode(np.array(x, np.int32), v) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text_of_ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return walk
 
 
-def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """The rows with the texts of their identifiers; missing identifiers give a missing text."""
-    if fresh(rows, text) != [text]:
-        raise ValueError(f"the rows already have a column {text}")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "`text_of_ids` string"])
-    return rows.mapInArrow(_decoded(path or default_model(), ids), kinds).withColumnRenamed("text_of_ids", text)
+def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
+    """The rows with the texts of their identifiers as the last column: `decoded`, or with underscores before where that
+    is taken. Missing identifiers give a missing text."""
+    name = fresh(rows, "decoded")[0]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{name}` string"])
+    return rows.mapInArrow(_decoded(path or default_model(), ids, name), kinds)
 
 
 def _digested(identifier: str):

@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ident
     return rows["number"].to_numpy(np.int32), rows["weight"].to_numpy(float)
 
 
-def _scores(number: np.ndarray, weight: np.ndarray, name: str):
+def _scores(number: np.ndarray, weight: np.ndarray, name: str, score_name: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS, np.float32)
         table[number[:-1]] = weight[:-1]
@@ -149,17 +149,16 @@ def _scores(number: np.ndarray, weight: np.ndarray, name: str):
                     pair = np.unique(row[some].astype(np.int64) << 32 | found[some])
                     total = np.bincount(pair >> 32, table[pair & 0xFFFFFFFF], part.num_rows) + weight[-1]
                     score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, "score_of_text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, score_name])
 
     return walk
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", score: str = "score") -> DataFrame:
-    """The rows with a score from 0 to 1. Raises if the name of the score is taken."""
-    if fresh(docs, score) != [score]:
-        raise ValueError(f"the documents already have a column {score}")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "`score_of_text` double"])
-    return docs.mapInArrow(_scores(*model, text), kinds).withColumnRenamed("score_of_text", score)
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows with a score from 0 to 1 as the last column: `score`, or with underscores before where that is taken."""
+    name = fresh(docs, "score")[0]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"])
+    return docs.mapInArrow(_scores(*model, text, name), kinds)
 
 
 def held_out(identifier: str, of: int, remainder: int) -> Column:
