@@ -116,14 +116,11 @@ def audit_rows(sheets: DataFrame) -> DataFrame:
     return rows.withColumns(parsed).drop(*[f"{c}_numerico" for c in parsed])
 
 
-def audit_rule_join(
-    rows: DataFrame, fat: DataFrame, margin: DataFrame, hot_from: DataFrame | None = None
-) -> DataFrame:
+def audit_rule_join(rows: DataFrame, fat: DataFrame, margin: DataFrame) -> DataFrame:
     """Rows with the allowed percents and targets of their model, empty when it has no rule."""
     rules = merge_by_key(fat, margin, "modelo").withColumnRenamed("modelo", "_model")
     model = F.nullif(norm_key(F.col("modelo")), F.lit(""))
-    source = None if hot_from is None else hot_from.select(model.alias("_model"))
-    joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"], hot_from=source)
+    joined = lookup_join(rows.withColumn("_model", model), rules, ["_model"])
     empty = F.array().cast("array<double>")
     sets = ("percentuais_fat", "percentuais_margem", "metas")
     return joined.withColumns({c: F.coalesce(F.col(c), empty) for c in sets}).drop("_model")
@@ -276,7 +273,7 @@ def paid_sheet_audit(
         (_key_counts(rows), ["arquivo", "nro_chassi", "nro_documento"], "_repeated"),
         (keys, ["nro_chassi", "nro_documento"], "_known"),
     ])
-    checked = audit_rule_join(checked, fat, margin, hot_from=rows)
+    checked = audit_rule_join(checked, fat, margin)
     per_row = checked.select("arquivo", "linha", F.inline(_row_issues())).select(
         "arquivo", F.col("linha").cast("bigint").alias("linha"), F.lit(_ERROR).alias("severidade"), "regra", "detalhe"
     )

@@ -75,11 +75,9 @@ def _excluded_columns() -> list[Column]:
     return [count.alias("qtd_lancamentos_excluidos"), (count > 0).alias("bloqueado_exclusao")]
 
 
-def _join(rows: DataFrame, dim: DataFrame, added: list[Column], hot_from: DataFrame | None = None) -> DataFrame:
-    key = _chassis_key(F.col("nro_chassi")).alias("_chassis")
-    source = None if hot_from is None else hot_from.select(key)
+def _join(rows: DataFrame, dim: DataFrame, added: list[Column]) -> DataFrame:
     keyed = rows.withColumn("_chassis", _chassis_key(F.col("nro_chassi")))
-    return lookup_join(keyed, dim, ["_chassis"], hot_from=source).select(*rows.columns, *added)
+    return lookup_join(keyed, dim, ["_chassis"]).select(*rows.columns, *added)
 
 
 def paid_history_join(rows: DataFrame, paid: DataFrame) -> DataFrame:
@@ -90,13 +88,11 @@ def excluded_join(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     return _join(rows, _excluded_dim(excluded), _excluded_columns())
 
 
-def paid_history(
-    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None, hot_from: DataFrame | None = None
-) -> DataFrame:
+def paid_history(rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None) -> DataFrame:
     """Rows with their history, status and blocking flags; one lookup serves both ledgers."""
     if paid is not None and excluded is not None:
         dim = merge_by_key(_paid_dim(paid), _excluded_dim(excluded), "_chassis")
-        joined = _join(rows, dim, _paid_columns() + _excluded_columns(), hot_from)
+        joined = _join(rows, dim, _paid_columns() + _excluded_columns())
     else:
         joined = rows
         if paid is not None:
@@ -127,8 +123,8 @@ def open_candidates(history: DataFrame) -> DataFrame:
 
 
 def paid_history_filter(
-    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None = None, hot_from: DataFrame | None = None
+    rows: DataFrame, paid: DataFrame | None, excluded: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(open candidates, full history); rows with reversals stay open for review."""
-    full = paid_history(rows, paid, excluded, hot_from)
+    full = paid_history(rows, paid, excluded)
     return open_candidates(full), full

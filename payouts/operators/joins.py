@@ -5,94 +5,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["attach_row", "first_per_key", "hot_keys", "lookup_join", "lookup_joins", "merge_by_key"]
+__all__ = ["attach_row", "first_per_key", "lookup_join", "lookup_joins", "merge_by_key"]
 
-# At most this many keys are treated as hot, which bounds what the hot path broadcasts.
-MAX_HOT_KEYS = 256
-_TRACKED_KEYS = 8192
-_SPREAD = 1 << 20
 
-
-def _key_text(on: Sequence[str]) -> Column:
-    """One text key; NULL when any part is NULL, so such rows match nothing."""
-    return F.concat(*[part for i, name in enumerate(on) for part in (
-        [F.lit("\x1f")] if i else []) + [F.col(name).cast("string")]])
-
-
-def hot_keys(rows: DataFrame, on: Sequence[str], max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The most frequent keys, never more than ``max_keys`` rows.
-
-    A frequent-items sketch merges map-side and needs no shuffle of the rows. A key it
-    misses merely takes the ordinary path, so its error never touches a result.
-    """
-    top = F.expr(f"approx_top_k(_key, {max_keys}, {_TRACKED_KEYS})")
-    keyed = rows.select(_key_text(on).alias("_key")).where("_key is not null")
-    return keyed.agg(top.alias("_top")).select(F.inline("_top")).select(F.col("item").alias("_hot_key"))
-
-
-def _broadcastable(dim: DataFrame) -> bool:
-    """Whether Spark's own size estimate puts the table under the broadcast threshold."""
-    limit = dim.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= int(limit)
-
-
-def lookup_join(
-    rows: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    flag: str | None = None,
-    hot_from: DataFrame | None = None,
-    strategy: str = "auto",
-) -> DataFrame:
+def lookup_join(rows: DataFrame, dim: DataFrame, on: Sequence[str], flag: str | None = None) -> DataFrame:
     """Left join to a table that has one row per key; every input row comes back once.
 
-    ``auto`` leaves a table of small estimated size to Spark's broadcast join. Beyond
-    that, rows with hot keys meet their at most MAX_HOT_KEYS table rows map-side, and the
-    rest is shuffled by key; hot and NULL-key rows travel under spread-out filler keys
-    that match nothing. ``flag`` names an optional column telling whether a row matched.
-    ``hot_from`` is a cheaper frame with the same keys to look for hot ones in.
+    One join at every size: Spark broadcasts the table where it is small. Otherwise both
+    sides are shuffled by key, and where a key, or the rows without one, fill a partition
+    of ``rows``, adaptive execution splits that partition over several tasks, which a left
+    join allows. Keep spark.sql.adaptive.enabled and .skewJoin.enabled on. ``flag`` names
+    an optional column telling whether a row matched.
     """
     values = [c for c in dim.columns if c not in on]
-    matched = flag or "_matched"
-    keep = [F.col(c) for c in rows.columns]
-    if strategy == "plain" or (strategy == "auto" and _broadcastable(dim)):
-        table = dim.withColumn(matched, F.lit(True))
-        out = rows.join(table, list(on), "left")
-        extra = [F.col(c) for c in values]
-        return out.select(*keep, *extra, *([F.coalesce(F.col(flag), F.lit(False)).alias(flag)] if flag else []))
-
-    hot = hot_keys(rows if hot_from is None else hot_from, on)
-    packed = dim.select(_key_text(on).alias("_dim_key"), F.struct(F.lit(True).alias("_m"), *values).alias("_dim"))
-    # Spark moves this semi join below the table's own joins and sums, so the hot part of the
-    # table is worked out from its hot rows alone.
-    near = packed.join(F.broadcast(hot), F.col("_dim_key") == F.col("_hot_key"), "left_semi")
-    near = hot.join(F.broadcast(near), F.col("_hot_key") == F.col("_dim_key"), "left").select(
-        "_hot_key", F.col("_dim").alias("_hot_dim")
-    )
-    marked = rows.withColumn("_row_key", _key_text(on)).join(
-        F.broadcast(near), F.col("_row_key") == F.col("_hot_key"), "left"
-    )
-    filler = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*keep), F.lit(_SPREAD)).cast("string"))
-    cold = F.when(F.col("_hot_key").isNull() & F.col("_row_key").isNotNull(), F.col("_row_key")).otherwise(filler)
-    out = marked.withColumn("_cold_key", cold).join(packed, F.col("_cold_key") == F.col("_dim_key"), "left")
-    out = out.withColumn("_found", F.coalesce(F.col("_hot_dim"), F.col("_dim")))
-    extra = [F.col(f"_found.{c}").alias(c) for c in values]
-    hit = [F.coalesce(F.col("_found._m"), F.lit(False)).alias(flag)] if flag else []
-    return out.select(*keep, *extra, *hit)
-
-
-def lookup_joins(
-    rows: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], str | None]], strategy: str = "auto"
-) -> DataFrame:
-    """Several lookups in a row, as (table, key columns, flag).
-
-    Hot keys are looked for in ``rows`` itself, not in the joins made so far, so the work
-    and the plan grow with the number of lookups and no faster.
-    """
-    out = rows
+    marked = dim.withColumn(flag, F.lit(True)) if flag else dim
+    hit = [F.coalesce(F.col(flag), F.lit(False)).alias(flag)] if flag else []
+    return rows.join(marked, list(on), "left").select(*rows.columns, *values, *hit)
+
+
+def lookup_joins(rows: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], str | None]]) -> DataFrame:
+    """Several lookups in a row, as (table, key columns, flag)."""
     for dim, on, flag in lookups:
-        out = lookup_join(out, dim, on, flag=flag, hot_from=rows, strategy=strategy)
-    return out
+        rows = lookup_join(rows, dim, on, flag=flag)
+    return rows
 
 
 def attach_row(rows: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -72,8 +72,7 @@ class Frames:
 
     @cache
     def managed(self) -> DataFrame:
-        base = self.base()
-        return U.manager_commission(self.calculated(base), self.managers(), hot_from=base)
+        return U.manager_commission(self.calculated(), self.managers())
 
     @cache
     def paid(self) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from payouts.operators.joins import first_per_key, hot_keys, lookup_join, lookup_joins, merge_by_key
+from payouts.operators.joins import first_per_key, lookup_join, lookup_joins, merge_by_key
 
 
 @pytest.fixture(scope="module")
@@ -19,26 +19,46 @@ def brute(rows, dim):
     return sorted((r["id"], table.get(r["k"]), r["k"] in table) for r in rows.collect())
 
 
-@pytest.mark.parametrize("strategy", ["auto", "plain", "split"])
-def test_lookup_join_matches_brute_force(frames, strategy):
+def test_lookup_join_matches_brute_force(frames):
     rows, dim = frames
-    out = lookup_join(rows, dim, ["k"], flag="hit", strategy=strategy)
+    out = lookup_join(rows, dim, ["k"], flag="hit")
     assert out.columns == ["id", "k", "j", "v", "n", "hit"]
     assert sorted((r["id"], r["v"], r["hit"]) for r in out.collect()) == brute(rows, dim)
 
 
-def test_split_never_shuffles_hot_or_null_keys_together(frames):
-    rows, dim = frames
-    assert {r["_hot_key"] for r in hot_keys(rows, ["k"], 3).collect()} >= {"k0"}
-    plan = lookup_join(rows, dim, ["k"], strategy="split")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k",
+}
+
+
+@pytest.fixture
+def shuffled(spark):
+    before = {k: spark.conf.get(k, None) for k in SHUFFLED}
+    for k, v in SHUFFLED.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_and_missing_keys_are_spread_over_tasks(shuffled, tmp_path, frames):
+    """A third of the rows has one key and a third none, yet no task joins that many."""
+    spark = shuffled
+    key = F.when(F.col("id") % 3 == 0, "k0").when(F.col("id") % 3 == 2, F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
+    rows = spark.range(0, 300_000, 1, 48).select("id", key.alias("k"))
+    out = lookup_join(rows, frames[1], ["k"], flag="hit")
+    held = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 300_000
+    assert max(held) < 50_000
 
 
-@pytest.mark.parametrize("strategy", ["plain", "split"])
-def test_two_column_keys_and_chains(frames, strategy):
+def test_two_column_keys_and_chains(frames):
     rows, dim = frames
     pairs = rows.where("k is not null").select("k", "j").distinct().withColumn("p", F.concat_ws("/", "k", "j"))
-    out = lookup_joins(rows, [(dim, ["k"], "a"), (pairs, ["k", "j"], "b")], strategy).collect()
+    out = lookup_joins(rows, [(dim, ["k"], "a"), (pairs, ["k", "j"], "b")]).collect()
     assert len(out) == 3000
     assert all(r["b"] == (r["k"] is not None) and (r["p"] == f"{r['k']}/{r['j']}" if r["b"] else r["p"] is None) for r in out)
     assert sorted((r["id"], r["v"], r["a"]) for r in out) == brute(rows, dim)

@@ -2,7 +2,9 @@ import duckdb
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from oracle.sql import ORACLE
+from payouts.plans.star_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,7 +18,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_entry_runs(spark):
