@@ -392,6 +392,10 @@ SELECT CASE WHEN p_partkey % 19 <> 0 THEN p_brand END AS modelo, p_type AS grupo
 _NAMES = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
 
 
+# Views that several others build on; they are worked out once.
+_HEAVY = ("base", "managed", "history", "confronted")
+
+
 def with_views(body: str) -> str:
     """The statement behind the views it uses, in the order they are defined."""
     needed: set[str] = set()
@@ -400,5 +404,5 @@ def with_views(body: str) -> str:
         for name in set(_NAMES.findall(pending.pop())) - needed:
             needed.add(name)
             pending.append(VIEWS[name])
-    used = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
+    used = [f"{name} AS {'MATERIALIZED ' if name in _HEAVY else ''}({VIEWS[name]})" for name in VIEWS if name in needed]
     return ("WITH " + ",\n".join(used) + "\n" if used else "") + body

@@ -9,7 +9,7 @@ from payouts.functions.text import strip
 from payouts.schemas import MONTH_NAMES
 
 __all__ = [
-    "commission_period", "default_period", "infer_period_label", "month_label",
+    "commission_period", "default_period", "infer_period_label", "label_base", "month_label",
     "parse_date_br", "period_of_date", "period_options",
 ]
 
@@ -40,6 +40,15 @@ def commission_period(base_month: Column) -> Column:
     )
 
 
+def label_base(label: str) -> tuple[int, int] | None:
+    """(year, month) of the base month of a label, which names the month after it."""
+    name, _, year = label.partition("/")
+    if name not in MONTH_NAMES or not year.isdigit():
+        return None
+    month = MONTH_NAMES.index(name)
+    return (int(year), month) if month else (int(year) - 1, 12)
+
+
 def period_of_date(d: Column) -> Column:
     """Base month (first day) of the period a date falls into."""
     return F.trunc(F.add_months(d, F.when(F.dayofmonth(d) >= 16, 0).otherwise(-1)), "MM")

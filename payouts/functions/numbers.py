@@ -105,8 +105,15 @@ def format_percent_br(c: Column) -> Column:
 
 
 def money_sum(c: Column) -> Column:
-    """Exact total, the same for any row order or task retry; NULL only when nothing adds up."""
-    return F.sum(c.try_cast(_MONEY)).cast("double")
+    """Exact total, the same for any row order or task retry; NULL only when nothing adds up.
+
+    A missing amount, NaN included, adds nothing. One that does not fit, infinity included,
+    fails the query under ANSI mode: no amount leaves a total unnoticed.
+    """
+    value = c.cast("double")
+    endless = F.raise_error(F.lit("an infinite amount cannot be summed")).cast(_MONEY)
+    exact = F.when(F.isnan(value), None).when(F.abs(value) == float("inf"), endless).otherwise(c.cast(_MONEY))
+    return F.sum(exact).cast("double")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

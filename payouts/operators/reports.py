@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from payouts import schemas as S
 from payouts.functions import fold_text, money_sum, norm_key, safe_float, strip, weighted_mean
 from payouts.operators.joins import first_per_key, lookup_join
-from payouts.operators.shape import analytic_projection, quoted, sort_by_available
+from payouts.operators.shape import analytic_projection, period_rows, quoted, sort_by_available
 
 __all__ = [
     "branch_analytic", "cen_pending", "cen_report", "coordinator_report", "manager_report",
@@ -49,7 +49,7 @@ def report_relations(relations: DataFrame) -> DataFrame:
 
 def report_paid_rows(ledger: DataFrame, label: str) -> DataFrame:
     """Ledger rows of a period with keys; missing numbers are zero, a missing total is fat + margin."""
-    rows = ledger.where(F.coalesce(F.col("mes_ano_comissao"), F.lit("")) == label)
+    rows = period_rows(ledger, label)
     numbers = {
         c: F.coalesce(safe_float(F.col(c)), F.lit(0.0)) if c in rows.columns else F.lit(0.0) for c in _NUMBERS
     }

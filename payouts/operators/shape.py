@@ -10,6 +10,7 @@ from payouts import schemas as S
 from payouts.functions import (
     format_currency_br,
     format_percent_br,
+    label_base,
     norm_key,
     pad_document,
     parse_commission_points,
@@ -20,7 +21,7 @@ from payouts.functions import (
 
 __all__ = [
     "analytic_projection", "display_format", "display_labels", "history_listing", "is_text",
-    "normalize_report_columns", "normalize_report_rows", "prepare_fat_rates",
+    "normalize_report_columns", "normalize_report_rows", "period_rows", "prepare_fat_rates",
     "prepare_manager_relations", "prepare_margin_rates", "resolve_column", "result_filters",
     "rule_listing", "schema_status", "sort_by_available",
 ]
@@ -207,3 +208,15 @@ def schema_status(table: DataFrame, expected: Sequence[str] | None = None) -> Da
     present = set(table.columns)
     rows = [(name, "OK" if name in present else "Ausente") for name in names]
     return table.sparkSession.createDataFrame(rows, "coluna string, status string")
+
+
+def period_rows(ledger: DataFrame, label: str) -> DataFrame:
+    """Ledger rows of a period label.
+
+    The label fixes the competence, so that a ledger kept by competence is read in one partition.
+    """
+    base, named = label_base(label), F.col("mes_ano_comissao")
+    rows = ledger.where(named == label if label else F.coalesce(named, F.lit("")) == "")
+    if base and {"competencia_ano", "competencia_mes"} <= set(ledger.columns):
+        rows = rows.where((F.col("competencia_ano") == base[0]) & (F.col("competencia_mes") == base[1]))
+    return rows

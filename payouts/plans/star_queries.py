@@ -6,7 +6,6 @@ totals rounded to cents.
 
 from collections.abc import Callable
 from datetime import date
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from payouts.plans.settlement import machine_settlement
 from payouts.sources import ledger as G
 from payouts.sources import sheets as H5
 from payouts.sources.stage import shared_path, stage
-from payouts.sources.star import Star
+from payouts.sources.star import Star, kept
 from payouts.sources.tables import normalize_source
 
 # The widest window, so that the extraction covers the whole tables; reports name a period.
@@ -50,35 +49,35 @@ class Frames:
         self.spark = spark
         self.star = Star(spark, folder)
 
-    @cache
+    @kept
     def base(self) -> DataFrame:
         return X.machine_base(self.star.machine_sources(), START, END)
 
-    @cache
+    @kept
     def fat(self) -> DataFrame:
         return U.latest_fat_rates(self.star.fat_rates())
 
-    @cache
+    @kept
     def margin(self) -> DataFrame:
         return U.latest_margin_rates(self.star.margin_rates())
 
-    @cache
+    @kept
     def managers(self) -> DataFrame:
         return U.latest_managers(self.star.manager_relations())
 
-    @cache
+    @kept
     def calculated(self, base: DataFrame | None = None) -> DataFrame:
         return U.commission_rules(self.base() if base is None else base, self.fat(), self.margin())
 
-    @cache
+    @kept
     def managed(self) -> DataFrame:
         return U.manager_commission(self.calculated(), self.managers())
 
-    @cache
+    @kept
     def paid(self) -> DataFrame:
         return H.paid_summary(self.star.paid_ledger())
 
-    @cache
+    @kept
     def excluded(self) -> DataFrame:
         return H.excluded_summary(self.star.excluded_ledger())
 
@@ -441,8 +440,9 @@ def period_of_date(x: Frames) -> DataFrame:
 
 @query
 def period_options(x: Frames) -> DataFrame:
-    base = F.explode(fn.period_options(F.col("o_orderdate").cast("date")))
-    options = x.star.table("orders").select("o_custkey", base.alias("b")).distinct()
+    # The options depend on the year alone, so each customer and year is spread out once.
+    years = x.star.table("orders").select("o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "year").alias("y")).distinct()
+    options = years.select("o_custkey", F.explode(fn.period_options(F.col("y"))).alias("b")).distinct()
     return options.select("o_custkey", fn.commission_period(F.col("b"))["label"].alias("label"))
 
 

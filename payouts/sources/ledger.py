@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from payouts import schemas as S
 from payouts.functions import parse_br_number, parse_date_br, parse_margin_points, parse_percent_points
-from payouts.operators.shape import is_text, quoted
+from payouts.operators.shape import is_text, period_rows, quoted
 
 __all__ = [
     "append_excluded_ledger", "append_paid_ledger", "append_rules", "create_ledger_table",
@@ -87,14 +87,13 @@ def _as_ledger(prepared: DataFrame) -> DataFrame:
 
 
 def _append(prepared: DataFrame, path: str) -> int:
-    """Append in one job; the row count is observed while writing.
+    """Append in one job; the row count is observed behind the shuffle, where no task counts twice.
 
     The rebalance gathers each competence in few files and splits one that is too big.
     """
     seen = Observation("ledger_append")
-    rows = _as_ledger(prepared).observe(seen, F.count(F.lit(1)).alias("rows"))
-    rows = rows.hint("rebalance", *[F.col(c) for c in S.LEDGER_PARTITIONS])
-    rows.write.mode("append").partitionBy(*S.LEDGER_PARTITIONS).parquet(path)
+    rows = _as_ledger(prepared).hint("rebalance", *[F.col(c) for c in S.LEDGER_PARTITIONS])
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*S.LEDGER_PARTITIONS).parquet(path)
     return int(seen.get["rows"])
 
 
@@ -113,7 +112,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _newest_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(*[F.col(c).desc() for c in ("paid_at", "id") if c in rows.columns])
+    """By time of posting, then by id where there is one, then by what tells rows of one posting apart.
+
+    The rows of a posting share its time, so without the rest they would be sorted in one task.
+    """
+    order = ("paid_at", "id") if "id" in rows.columns else ("paid_at", *S.LEDGER_DATA_COLUMNS)
+    return rows.orderBy(*[F.col(c).desc() for c in order if c in rows.columns])
 
 
 def ledger_by_competence(ledger: DataFrame, year: int, month: int) -> DataFrame:
@@ -123,7 +127,7 @@ def ledger_by_competence(ledger: DataFrame, year: int, month: int) -> DataFrame:
 
 def ledger_by_label(ledger: DataFrame, label: str) -> DataFrame:
     """Postings of one period label, newest first."""
-    return _newest_first(ledger.where(F.col("mes_ano_comissao") == label))
+    return _newest_first(period_rows(ledger, label))
 
 
 def ledger_period_labels(ledger: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Staged tables: a frame several outputs share, written once to the shared folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -13,16 +15,23 @@ _FOLDER = "spark.checkpoint.dir"
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="payouts-")
+    folder = tempfile.mkdtemp(prefix="payouts-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder every executor can reach.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset a temporary
+    folder, removed at exit, takes its place, but only if the executors run in the driver.
     """
-    folder = spark.conf.get(_FOLDER, None) or _local_folder()
+    folder = spark.conf.get(_FOLDER, None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_FOLDER} to a folder that all executors share")
+        folder = _local_folder()
     return f"{folder.rstrip('/')}/payouts/{uuid.uuid4().hex}/{name}"
 
 

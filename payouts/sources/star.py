@@ -4,7 +4,8 @@ Line items become invoices and returns, parts become machines. Conditions on key
 plant the cases the rules tell apart (missing titles, returns, blank keys and the like).
 """
 
-from functools import cache, reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,21 @@ from payouts import schemas as S
 from payouts.functions import commission_period, format_currency_br, period_of_date
 from payouts.operators.extract import MachineSources
 
-__all__ = ["Star"]
+__all__ = ["Star", "kept"]
+
+
+def kept(method: Callable) -> Callable:
+    """Each result of a method is made once for its object, and goes with it."""
+
+    @wraps(method)
+    def once(self, *args, **named):
+        results = self.__dict__.setdefault("_kept", {})
+        key = (method.__name__, args, tuple(sorted(named.items())))
+        if key not in results:
+            results[key] = method(self, *args, **named)
+        return results[key]
+
+    return once
 
 
 class Star:
@@ -23,7 +38,7 @@ class Star:
         self.spark = spark
         self.folder = folder
 
-    @cache
+    @kept
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -50,7 +65,7 @@ class Star:
 
     # Sources ------------------------------------------------------------------------
 
-    @cache
+    @kept
     def lines(self) -> DataFrame:
         """Line items with order, part and supplier attributes and a stable row id."""
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -91,17 +106,17 @@ class Star:
             "row_id",
         ]
 
-    @cache
+    @kept
     def billing(self, typed: bool = True) -> DataFrame:
         """Invoices; ``typed`` gives issue dates as an ingested table has them, else as source text."""
         net = F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("gross") * (F.lit(1.0) - F.col("l_discount")))
         return self.lines().where("l_returnflag <> 'R'").select(*self._invoice_columns(typed), net.alias("valor_venda_liquida"))
 
-    @cache
+    @kept
     def returns(self, typed: bool = True) -> DataFrame:
         return self.lines().where("l_returnflag = 'R'").select(*self._invoice_columns(typed))
 
-    @cache
+    @kept
     def incentives(self) -> DataFrame:
         part = self.table("part")
         key = F.col("p_partkey")
@@ -115,7 +130,7 @@ class Star:
         )
         return main.unionByName(second)
 
-    @cache
+    @kept
     def receivables(self) -> DataFrame:
         orders = self.table("orders").where(F.col("o_orderkey") % 11 != 0)
         digit = F.substring("o_orderpriority", 1, 1)
@@ -142,7 +157,7 @@ class Star:
         )
         return first.unionByName(second).unionByName(factory)
 
-    @cache
+    @kept
     def invoices(self) -> DataFrame:
         last = self.table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("ship"))
         orders = self.table("orders").where(F.col("o_orderkey") % 13 != 0)
@@ -152,7 +167,7 @@ class Star:
             F.concat(F.lit("C"), F.col("o_custkey")).alias("cliente_codigo"),
         )
 
-    @cache
+    @kept
     def vehicles(self) -> DataFrame:
         size = F.col("p_size") % 3
         return self.table("part").select(
@@ -198,7 +213,7 @@ class Star:
     def _brands(self) -> DataFrame:
         return self.table("part").select("p_brand").distinct().withColumn("n", self._brand_number())
 
-    @cache
+    @kept
     def fat_rates(self) -> DataFrame:
         """Billing rates with older versions of even models and a newer inactive row."""
         n = F.col("n")
@@ -210,7 +225,7 @@ class Star:
             self._rule(brands.where(n == 3), F.lit(0.7), False, "2025-01-01"),
         ])
 
-    @cache
+    @kept
     def margin_rates(self) -> DataFrame:
         n = F.col("n")
         brands = self._brands().where("n <> 25")
@@ -221,7 +236,7 @@ class Star:
             self._rule(brands.where(n % 4 == 0), F.lit(0.5), True, "2023-01-01", meta_margem=F.lit(20.0)),
         ])
 
-    @cache
+    @kept
     def manager_relations(self) -> DataFrame:
         key = F.col("s_suppkey")
         suppliers = self.table("supplier").where(key % 10 != 0).join(
@@ -244,7 +259,7 @@ class Star:
 
     # Ledgers ------------------------------------------------------------------------
 
-    @cache
+    @kept
     def paid_ledger(self) -> DataFrame:
         """Payments of closed lines, reversals, and special entries per part."""
         part, line = F.col("l_partkey"), F.col("l_linenumber")
@@ -303,7 +318,7 @@ class Star:
             F.col("_p.end_date").cast("timestamp").alias("paid_at"),
         )
 
-    @cache
+    @kept
     def excluded_ledger(self) -> DataFrame:
         return self.table("part").where("p_partkey % 41 = 0").select(
             F.concat(F.lit("ch"), F.col("p_partkey"), F.lit(" ")).alias("nro_chassi"),
@@ -352,7 +367,7 @@ class Star:
             *[c for c in S.AUDIT_REQUIRED if c not in ("modelo", "nro_chassi", "nro_documento", "receita_bruta")],
         )
 
-    @cache
+    @kept
     def selection(self) -> DataFrame:
         """Marks on line items: paid and excluded rows, some marked both ways."""
         pay, drop = F.col("l_orderkey") % 4 == 0, F.col("l_partkey") % 9 == 0

@@ -35,15 +35,13 @@ def jdbc_source(
     url: str,
     table: str,
     relation: str,
-    split_column: str | None = None,
-    bounds: tuple[str, str] | None = None,
+    split_column: str,
+    bounds: tuple[str, str],
     partitions: int = 64,
     **options: str,
 ) -> DataFrame:
     """A source relation in a database, read in parallel ranges of ``split_column``."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize="10000", **options)
-    if split_column and bounds:
-        reader = reader.options(
-            partitionColumn=split_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=str(partitions)
-        )
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize="10000", **options).options(
+        partitionColumn=split_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=str(partitions)
+    )
     return normalize_source(reader.load(), relation)

@@ -116,3 +116,21 @@ def test_matches_rule(value):
     assert value(fn.matches_rule(F.lit(0.455), allowed)) and not value(fn.matches_rule(F.lit(0.5), allowed))
     assert not value(fn.matches_rule(F.lit(1.0), F.array().cast("array<double>")))
     assert not value(fn.matches_rule(F.lit(None).cast("double"), allowed))
+
+
+def test_money_sum_loses_no_amount(spark):
+    from pyspark.errors import ArithmeticException, PySparkException
+
+    from payouts.functions.numbers import money_sum
+
+    amounts = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (2.5,)], "v double")
+    assert amounts.agg(money_sum(F.col("v")).alias("t")).first()["t"] == 3.5
+    for bad in (1e23, float("inf")):
+        with pytest.raises((ArithmeticException, PySparkException)):
+            spark.createDataFrame([(1.0,), (bad,)], "v double").agg(money_sum(F.col("v"))).collect()
+
+
+def test_label_base():
+    from payouts.functions import label_base
+
+    assert (label_base("Abril/1996"), label_base("Janeiro/1997"), label_base("x"), label_base("Abril/")) == ((1996, 3), (1996, 12), None, None)

@@ -103,3 +103,38 @@ def test_tables_and_export(spark, tmp_path):
     G.export_report(report, str(tmp_path / "out"), partition_by="filial")
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
     assert stage(report, "r").count() == 2
+
+
+def test_one_posting_sorts_in_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "paid")
+    rows = spark.range(20_000).select(F.concat(F.lit("CH"), "id").alias("nro_chassi"), (F.col("id") % 9).cast("double").alias("valor_comissao_total"))
+    G.append_paid_ledger(rows, path, G.period_columns(**PERIOD))
+    month = G.ledger_by_competence(G.read_ledger(spark, path), 2026, 3)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = month.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in held) < 10_000
+
+
+def test_reports_of_a_period_read_its_partition(spark, tmp_path):
+    from payouts.operators import reports as R
+
+    path = str(tmp_path / "paid")
+    rows = spark.createDataFrame([("CH1", 10.0)], "nro_chassi string, valor_comissao_total double")
+    G.append_paid_ledger(rows, path, G.period_columns(**PERIOD))
+    ledger = G.read_ledger(spark, path)
+    for frame in (R.report_paid_rows(ledger, "Abril/2026"), G.ledger_by_label(ledger, "Abril/2026")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "(competencia_ano" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "EqualTo(mes_ano_comissao,Abril/2026)" in plan
+        assert frame.count() == 1
+
+
+def test_latest_edit_of_an_id_counts(spark):
+    current = spark.createDataFrame([("a", True, False)], "row_id string, pagar boolean, excluir boolean")
+    edits = spark.createDataFrame([("a", False, True, 1), ("a", True, True, 2), ("b", True, False, 5), ("b", False, False, 6)], "row_id string, pagar boolean, excluir boolean, n int")
+    assert [tuple(r) for r in L.merge_selection(current, edits, "n").collect()] == [("a", True, True)]
