@@ -33,6 +33,7 @@ from payouts.llm.common import cut
 #: A node needs so many occurrences on a host before it can be found repeated.
 OCCURRENCES = 3
 THRESHOLD = 0.2
+SALTS = 64
 DECAY = 0.9
 
 _TOKEN = re.compile(
@@ -208,6 +209,9 @@ def extracted(pages: DataFrame, identifier: str = "page_id", url: str = "url", h
     source = pages.select(F.col(identifier).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host.alias("host"))
     low = importance(source).filter((F.col("n") >= OCCURRENCES) & (F.col("importance") < threshold))
     by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # a host's repeated paths, not its pages
+    # A host may have a third of all pages: its pages are dealt over SALTS keys, each with a copy of the paths.
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    source = source.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
     kind = pages.schema[identifier].dataType.simpleString()
-    found = source.join(by_host, "host", "left").select("id", "url", "html", "low").mapInPandas(_texts, f"id {kind}, url string, text string")
+    found = source.join(salted, ["host", "salt"], "left").select("id", "url", "html", "low").mapInPandas(_texts, f"id {kind}, url string, text string")
     return found.withColumnRenamed("id", identifier)
