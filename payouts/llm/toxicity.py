@@ -75,16 +75,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tup
     """Numbers and weights of the features that FTRL-proximal leaves; the bias is number -1."""
     if not len(rows):
         return np.zeros(0, np.int32), np.zeros(0)
-    flat = np.concatenate(rows)
-    numbers, place, held = np.unique(flat, return_inverse=True, return_counts=True)
-    kept = held >= LEAST
-    dense = np.cumsum(kept) - 1
-    ends = np.cumsum([len(r) for r in rows])
-    bias = int(kept.sum())
-    known = []
-    for end, row in zip(ends.tolist(), rows, strict=True):
-        at = place[end - len(row): end]
-        known.append(np.append(dense[at[kept[at]]], bias))
+    held = np.zeros(1 << BITS, np.int32)
+    for row in rows:
+        held[row] += 1  # a row has each feature once
+    numbers = np.flatnonzero(held >= LEAST).astype(np.int32)
+    bias = len(numbers)
+    dense = np.full(1 << BITS, -1, np.int32)
+    dense[numbers] = np.arange(bias)
+    known = [np.append((at := dense[row])[at >= 0], bias) for row in rows]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
     l1 = np.full(bias + 1, L1_RATE * len(rows) ** 0.5)
     l1[bias] = 0
@@ -101,7 +99,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tup
             n[at] += g * g
     w = weights(slice(None))
     left = np.flatnonzero(w[:bias])
-    return np.append(numbers[kept][left], -1).astype(np.int32), np.append(w[left], w[bias])
+    return np.append(numbers[left], -1).astype(np.int32), np.append(w[left], w[bias])
 
 
 def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
