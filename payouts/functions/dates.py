@@ -10,7 +10,7 @@ from payouts.schemas import MONTH_NAMES
 
 __all__ = [
     "commission_period", "default_period", "infer_period_label", "label_base", "month_label",
-    "parse_date_br", "period_of_date", "period_options",
+    "parse_date_br", "period_of_date", "period_of_label", "period_options",
 ]
 
 
@@ -49,6 +49,14 @@ def label_base(label: str) -> tuple[int, int] | None:
     return (int(year), month) if month else (int(year) - 1, 12)
 
 
+def period_of_label(label: Column) -> Column:
+    """Struct of the period that a label names; NULL when it names none."""
+    names = F.array(*[F.lit(name) for name in MONTH_NAMES])
+    month = F.nullif(F.array_position(names, F.substring_index(label, "/", 1)), F.lit(0)).cast("int")
+    ends = F.make_date(F.substring_index(label, "/", -1).try_cast("int"), month, F.lit(1))
+    return F.when(ends.isNotNull(), commission_period(F.add_months(ends, -1)))
+
+
 def period_of_date(d: Column) -> Column:
     """Base month (first day) of the period a date falls into."""
     return F.trunc(F.add_months(d, F.when(F.dayofmonth(d) >= 16, 0).otherwise(-1)), "MM")

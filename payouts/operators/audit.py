@@ -138,13 +138,17 @@ def _two(c: Column) -> Column:
     return F.format_string("%.2f", c)
 
 
+def _absent_labels(header: Column) -> Column:
+    """Required labels that a header lacks, former labels counting as today's."""
+    required = F.array(*[F.lit(S.LABELS[c]) for c in S.AUDIT_REQUIRED])
+    aliases = F.create_map(*[F.lit(x) for pair in S.REPORT_HEADER_ALIASES.items() for x in pair])
+    return F.array_except(required, F.transform(header, lambda h: F.coalesce(F.try_element_at(aliases, h), h)))
+
+
 def _missing_columns(sheets: DataFrame) -> Column:
     """Labels of required columns a file lacks."""
     if "colunas" in sheets.columns:
-        required = F.array(*[F.lit(S.LABELS[c]) for c in S.AUDIT_REQUIRED])
-        aliases = F.create_map(*[F.lit(x) for pair in S.REPORT_HEADER_ALIASES.items() for x in pair])
-        names = F.transform(F.col("colunas"), lambda h: F.coalesce(F.try_element_at(aliases, h), h))
-        return F.array_except(required, names)
+        return _absent_labels(F.col("colunas"))
     absent = [S.LABELS[c] for c in S.AUDIT_REQUIRED if c not in normalize_report_rows(sheets).columns]
     return F.array(*[F.lit(c) for c in absent]).cast("array<string>")
 
@@ -211,8 +215,12 @@ def _sentinel_issue(used: Column, allowed: Column, sentinel: str) -> Column:
     ))
 
 
-def _file_frame(sheets: DataFrame, fat: DataFrame, sentinel: str) -> DataFrame:
-    """One row per file: sizes, totals, missing columns, sentinel percents used and allowed."""
+def _file_frame(sheets: DataFrame, fat: DataFrame, sentinel: str, files: DataFrame | None = None) -> DataFrame:
+    """One row per file: sizes, totals, missing columns, sentinel percents used and allowed.
+
+    ``files`` is the reader's list (arquivo, colunas, erro); its files without rows count
+    as well, one that could not be read as one without columns.
+    """
     missing = _missing_columns(sheets)
     width = F.size("colunas") if "colunas" in sheets.columns else F.lit(
         len([c for c in sheets.columns if c not in ("arquivo", "linha")]))
@@ -221,6 +229,11 @@ def _file_frame(sheets: DataFrame, fat: DataFrame, sentinel: str) -> DataFrame:
         F.max(width).cast("bigint").alias("colunas_lidas"),
         F.max(missing).alias("_missing"),
     )
+    if files is not None:
+        header = F.coalesce("colunas", F.array().cast("array<string>"))
+        read = read.unionByName(files.join(read.select("arquivo"), "arquivo", "left_anti").select(
+            "arquivo", F.lit(0).cast("bigint").alias("linhas_lidas"), F.size(header).cast("bigint").alias("colunas_lidas"),
+            _absent_labels(header).alias("_missing")))
     rows = audit_rows(sheets)
     sentinel_row = norm_key(F.col("modelo")) == sentinel if "modelo" in rows.columns else F.lit(False)
     percent = F.col("perc_comissao_fat") if "perc_comissao_fat" in rows.columns else F.lit(None).cast("double")
@@ -249,19 +262,24 @@ def paid_sheet_audit(
     margin_rules: DataFrame,
     extraction: DataFrame,
     sentinel: str = S.SENTINEL_MODEL,
+    file_list: DataFrame | None = None,
 ) -> DataFrame:
     """All issues of all files: arquivo, linha (NULL for the file itself), severidade, regra, detalhe.
 
     A file that lacks required columns gets one issue per column and no further check.
+    ``file_list`` is the reader's list (arquivo, colunas, erro): with it, files without rows
+    and files that could not be read have their issues too.
     """
     fat, margin = allowed_fat_rates(fat_rules), allowed_margin_rules(margin_rules)
-    files = _file_frame(sheets, fat, sentinel)
+    files = _file_frame(sheets, fat, sentinel, file_list)
     no_line = F.lit(None).cast("bigint")
     missing = files.select("arquivo", F.explode("_missing").alias("_column")).select(
         "arquivo", no_line.alias("linha"), F.lit(_ERROR).alias("severidade"),
         F.lit("Coluna obrigatória").alias("regra"),
         F.concat(F.lit("Coluna ausente: "), F.col("_column")).alias("detalhe"),
     )
+    if file_list is not None:
+        missing = missing.unionByName(read_error_issues(file_list.where("erro is not null")))
     if all(c in normalize_report_rows(sheets).columns for c in S.AUDIT_REQUIRED):
         complete = sheets.where(F.size(_missing_columns(sheets)) == 0)
     else:
@@ -308,14 +326,15 @@ def concat_issues(*issues: DataFrame) -> DataFrame:
 
 
 def audit_file_summary(
-    sheets: DataFrame, issues: DataFrame, fat_rules: DataFrame, sentinel: str = S.SENTINEL_MODEL
+    sheets: DataFrame, issues: DataFrame, fat_rules: DataFrame, sentinel: str = S.SENTINEL_MODEL,
+    file_list: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file: what was read, errors, warnings and the verdict."""
     counts = issues.groupBy("arquivo").agg(
         F.count_if(F.col("severidade") == _ERROR).alias("erros"),
         F.count_if(F.col("severidade") == _WARNING).alias("avisos"),
     )
-    files = _file_frame(sheets, allowed_fat_rates(fat_rules), sentinel).join(counts, "arquivo", "left")
+    files = _file_frame(sheets, allowed_fat_rates(fat_rules), sentinel, file_list).join(counts, "arquivo", "left")
     errors = F.coalesce("erros", F.lit(0))
 
     def percents(values: str) -> Column:
