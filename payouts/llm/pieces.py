@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from payouts.llm.common import fresh
-from payouts.llm.text_arrays import mixed, parts
+from payouts.llm.text_arrays import BLOCK, mixed, parts, text_bytes
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Entries of the lattice (words times positions times piece lengths) that are held at a time.
-_LATTICE = 4_000_000
+_LATTICE = 2_000_000
 #: Words whose pieces a Python worker remembers, about 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+_ASKED_BITS = 20
 _PAD = 0x110000  # no character
 
 
@@ -65,6 +66,35 @@ class Vocabulary:
     right: np.ndarray
     pair_keys: np.ndarray
     pair_priority: np.ndarray
+    # Direct tables in front of the sorted keys.
+    slots: np.ndarray
+    pair_slots: np.ndarray
+    # Bytes of all pieces and where each begins.
+    spelling: np.ndarray
+    spelled: np.ndarray
+    # Pairs that were asked for lately, in a table of fixed size, and whether they fit.
+    asked: np.ndarray
+    fitted: np.ndarray
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """For the leading bits of a key the place of the first sorted key that has them or more."""
+    bits = max(10, len(keys).bit_length() + 3)
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+
+def _places(keys: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the sorted keys, and whether the key is there. The slots lead to the place; where several keys share
+    one, the next few are tried."""
+    at = np.minimum(slots[wanted >> np.uint64(64 - len(slots).bit_length() + 1)], len(keys) - 1)
+    found = keys[at]
+    less = np.flatnonzero(found < wanted)
+    while less.size:
+        at.flat[less] = np.minimum(at.flat[less] + 1, len(keys) - 1)
+        more = keys[at.flat[less]]
+        found.flat[less] = more
+        less = less[(more < wanted.flat[less]) & (at.flat[less] < len(keys) - 1)]
+    return at, found == wanted
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -134,10 +164,16 @@ def vocabulary(pieces: list[tuple[str, float, int]], unigram: bool) -> Vocabular
                 left[i], right[i] = path
             elif len(t) > 1:
                 left[i] = -1  # merging never makes this piece
-    pair_keys = np.array(sorted(pairs), np.int64)
+    pair_list = np.array(list(pairs), np.int64)
+    pair_hash = mixed(pair_list.view(np.uint64))
+    pair_order = np.argsort(pair_hash)
+    pair_keys = pair_hash[pair_order]
+    first_byte = next((i for i, p in enumerate(pieces) if p[2] == 6), -1)
+    spelled = [bytes([i - first_byte]) if p[2] == 6 else p[0].replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(pieces)]
     return Vocabulary(
-        texts, scores, np.array([p[2] == 6 for p in pieces]), next((i for i, p in enumerate(pieces) if p[2] == 6), -1), keys[order], np.array(ordinary)[order],
-        max(map(len, by_text)), unigram, next(i for i, p in enumerate(pieces) if p[2] == 2), scores[ordinary].min() - 10, priority, left, right, pair_keys, np.array([pairs[int(k)] for k in pair_keys], np.int64))
+        texts, scores, np.array([p[2] == 6 for p in pieces]), first_byte, keys[order], np.array(ordinary)[order],
+        max(map(len, by_text)), unigram, next(i for i, p in enumerate(pieces) if p[2] == 2), scores[ordinary].min() - 10, priority, left, right, pair_keys, np.array(list(pairs.values()), np.int64)[pair_order],
+        _slots(keys[order]), _slots(pair_keys), np.frombuffer(b"".join(spelled), np.uint8), np.append(0, np.cumsum([len(x) for x in spelled])), np.full(1 << _ASKED_BITS, -1, np.int64), np.zeros(1 << _ASKED_BITS, bool))
 
 
 def _merged(text: str, by_text: dict[str, int], priority: np.ndarray) -> list[int]:
@@ -159,6 +195,18 @@ def _keys(words: list[str]) -> list[np.ndarray]:
 
 
 def _fits(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As _fit, for pairs of which many were asked for before."""
+    key = a << 32 | b
+    slot = mixed(key.view(np.uint64)) >> np.uint64(64 - _ASKED_BITS)
+    out = v.fitted[slot]
+    new = np.flatnonzero(v.asked[slot] != key)
+    if new.size:
+        out[new] = _fit(v, a[new], b[new])
+        v.asked[slot[new]], v.fitted[slot[new]] = key[new], out[new]
+    return out
+
+
+def _fit(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether merging leaves the pieces a and b side by side when it starts from the characters of both.
 
     It does unless some merge across the border comes before the merge that hides one of its sides. So the parts along
@@ -170,10 +218,11 @@ def _fits(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     # A merge across the border counts if it comes before this moment; of one priority, the left comes first.
     limit = np.full(n, np.iinfo(np.int64).max, np.int64)
     while at.size:
-        key = a.astype(np.int64) << 32 | b
-        place = np.minimum(np.searchsorted(v.pair_keys, key), len(v.pair_keys) - 1)
-        # Moments: twice the priority, and one more for what lies right of the border.
-        merges = (v.pair_keys[place] == key) & (2 * v.pair_priority[place] + 0 < limit) if len(v.pair_keys) else np.zeros(len(key), bool)
+        merges = np.zeros(len(a), bool)
+        if len(v.pair_keys):
+            place, there = _places(v.pair_keys, v.pair_slots, mixed((a << 32 | b).view(np.uint64)))
+            # Moments: twice the priority, and one more for what lies right of the border.
+            merges = there & (2 * v.pair_priority[place] < limit)
         whole_a, whole_b = v.left[a] == a, v.left[b] == b
         done = ~merges & whole_a & whole_b
         out[at[done]] = True
@@ -196,8 +245,8 @@ def _search(words: list[str], length: int, v: Vocabulary) -> tuple[np.ndarray, n
     ids = np.full((widest + 1, n, length + 1), -1, np.int32)
     for k in range(1, widest + 1):
         key = mixed(sums[:, k:] - sums[:, :-k] * _power(k) + _salt(k))
-        place = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        ids[k, :, k:] = np.where(v.keys[place] == key, v.ids[place], -1)
+        place, there = _places(v.keys, v.slots, key)
+        ids[k, :, k:] = np.where(there, v.ids[place], -1)
     back = np.zeros((n, length + 1), np.int16)
     if v.unigram:
         best = np.full((n, length + 1), -np.inf)
@@ -277,19 +326,25 @@ def encode_words(words: list[str], v: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts; remembers the pieces of REMEMBERED words at most."""
+    """Encodes texts; remembers the pieces of REMEMBERED words at most, those used last."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+        self.v, self.known, self.older = v, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in split for w in words})
+        wanted = set()
+        for words in split:
+            wanted.update(words)
+        if len(self.known) + len(wanted) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        wanted.difference_update(self.known)
+        again = wanted & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = list(wanted - again)
         self.known.update(zip(new, encode_words(new, self.v), strict=True))
-        return [b"".join([self.known[w] for w in words]) for words in split]
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @functools.cache
@@ -298,19 +353,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(load(path))
 
 
+def decode_all(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts one after another and where each begins; each still has the space put in front."""
+    sizes = np.diff(v.spelled)[ids]
+    ends = np.cumsum(sizes)
+    at = np.repeat(v.spelled[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return v.spelling[at], np.append(0, ends)[bounds]
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of the identifiers; bytes that are no UTF-8 become U+FFFD."""
-    if not len(ids):
-        return ""
-    pieces = [v.texts[i] for i in ids.tolist()]
-    bytes_at = np.flatnonzero(v.is_byte[ids])
-    if bytes_at.size:
-        runs = np.split(bytes_at, np.flatnonzero(np.diff(bytes_at) > 1) + 1)
-        for run in runs:
-            pieces[run[0]] = bytes((ids[run] - v.first_byte).tolist()).decode("utf-8", "replace")
-            for i in run[1:].tolist():
-                pieces[i] = ""
-    return "".join(pieces).replace(SPACE, " ")[1:]
+    raw, _ = decode_all(ids, np.array([0, len(ids)]), v)
+    return raw.tobytes().decode("utf-8", "replace")[1:]
 
 
 def _encoded(path: str, text: str, keep: list[str], name: str):
@@ -340,7 +394,10 @@ def _decoded(path: str, ids: str, name: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(path)
         for batch in batches:
-            texts = [None if x is None else decode(np.array(x, np.int32), v) for x in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+            missing = column.is_null().to_numpy(zero_copy_only=False)
+            texts = [None if m else decode(flat[a:b], v) for m, a, b in zip(missing.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return walk
@@ -354,22 +411,31 @@ def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
     return rows.mapInArrow(_decoded(path or default_model(), ids, name), kinds)
 
 
-def _digested(identifier: str):
+def _digested(path: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, v = encoder(path), load(path)
         for batch in batches:
-            ids = batch.column("ids")
-            offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-            hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            same = [(a or "").replace(SPACE, " ") == b for a, b in zip(batch.column("text").to_pylist(), batch.column("decoded").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(identifier), pa.array(np.diff(offsets).astype(np.int64)), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())],
-                names=[identifier, "n_ids", "ids_sha256", "round_trip"])
+            for begin, end in parts(batch.column("text"), 2 * BLOCK):
+                part = batch.slice(begin, end - begin)
+                found = own.encode(part.column("text").to_pylist())
+                bounds = np.append(0, np.cumsum([len(f) // 4 for f in found]))
+                decoded, at = decode_all(np.frombuffer(b"".join(found), np.int32), bounds, v)
+                given, offsets = text_bytes(part.column("text"))
+                same = []
+                for a, b, low, high in zip(at[:-1].tolist(), at[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    text, back = given[low:high].tobytes(), decoded[a + 1: b].tobytes()
+                    same.append(text == back or text.replace(SPACE.encode(), b" ") == back)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array([hashlib.sha256(f).hexdigest() for f in found], pa.string()), pa.array(same, pa.bool_())],
+                    names=["id", "n_ids", "ids_sha256", "round_trip"])
 
     return walk
 
 
-def digests(rows: DataFrame, identifier: str = "doc_id") -> DataFrame:
-    """For rows with `text`, `ids` and `decoded`: the number of identifiers, the SHA-256 of them as 32-bit numbers, and
-    whether the decoded text is the text."""
-    kind = rows.schema[identifier].dataType.simpleString()
-    return rows.mapInArrow(_digested(identifier), f"`{identifier}` {kind}, n_ids long, ids_sha256 string, round_trip boolean")
+def digests(docs: DataFrame, path: str | None = None, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row: its identifier, the number of piece identifiers, the SHA-256 of them as 32-bit numbers, and
+    whether decoding them gives the text again. Encodes and decodes in one pass."""
+    kind = docs.schema[identifier].dataType.simpleString()
+    source = docs.select(docs[identifier].alias("id"), docs[text].alias("text"))
+    found = source.mapInArrow(_digested(path or default_model()), f"id {kind}, n_ids long, ids_sha256 string, round_trip boolean")
+    return found.withColumnRenamed("id", identifier)

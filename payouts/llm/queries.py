@@ -17,8 +17,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pieces.digests(pieces.decoded(pieces.encoded(docs)))
+    return pieces.digests(table(spark, folder, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
