@@ -68,7 +68,30 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _secrets_sql() -> str:
+    """Matches of each rule from the pieces between them, as spans; counts and digests of the base rules."""
+    parts = []
+    for place, rule in enumerate(blob_ledger.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, length(m[i]) AS n,
+            CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m,
+                regexp_extract_all(t, '{pattern}', {rule.group}) AS v, regexp_split_to_array(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}')))
+            WHERE length(v[i]) >= {rule.least}""")
+    base = len(blob_ledger.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in blob_ledger.BASE_RULES)
+    span = "kind || ':' || s || ':' || s + n"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ({' UNION ALL '.join(parts)})
+        SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY s, place) FILTER (place < {base}), '')) AS base_sha256,
+            coalesce(string_agg({span}, ',' ORDER BY s, place), '') AS spans
+        FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE = {
+    "op4_secret_scan": _secrets_sql(),
     "op3_ngram_jaccard_join": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_TO_LOWER}), '[^\x20\x09-\x0D]+') AS t FROM documents),
         s AS (SELECT DISTINCT doc_id, list_slice(t, i, i + 4) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM d WHERE len(t) > 0)),

@@ -55,7 +55,7 @@ def test_stages_at_the_edges(spark, edge_docs, no_docs, stage):
     assert len(CLASHES) > 10
 
 
-@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op5_exact_dedup", "op9_decontamination"])
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op4_secret_scan", "op5_exact_dedup", "op9_decontamination"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
