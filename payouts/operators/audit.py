@@ -43,7 +43,7 @@ _POINTS = {
 def allowed_fat_rates(rules: DataFrame) -> DataFrame:
     """Set of allowed billing percents per model."""
     model = resolve_column(rules, S.MODEL_ALIASES)
-    percent = resolve_column(rules, S.FAT_PERCENT_ALIASES)
+    percent = resolve_column(rules, S.AUDIT_FAT_PERCENT_ALIASES)
     value = parse_commission_points(quoted(percent), is_text(rules, percent))
     return (
         rules.select(norm_key(quoted(model)).alias("modelo"), value.alias("v"))
@@ -56,7 +56,7 @@ def allowed_fat_rates(rules: DataFrame) -> DataFrame:
 def allowed_margin_rules(rules: DataFrame) -> DataFrame:
     """Sets of allowed margin percents and targets per model."""
     model = resolve_column(rules, S.MODEL_ALIASES)
-    percent = resolve_column(rules, S.MARGIN_PERCENT_ALIASES)
+    percent = resolve_column(rules, S.AUDIT_MARGIN_PERCENT_ALIASES)
     target = resolve_column(rules, S.TARGET_ALIASES, required=False)
     value = parse_commission_points(quoted(percent), is_text(rules, percent))
     goal = parse_margin_points(quoted(target), is_text(rules, target)) if target else F.lit(0.0)

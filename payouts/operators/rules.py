@@ -62,9 +62,7 @@ def _stable_order(df: DataFrame, order: Sequence[str]):
 def calc_rate_table(rates: DataFrame, include_target: bool = False, order: Sequence[str] = ("row_seq",)) -> DataFrame:
     """Model key and percent (and target) as the calculation reads them, one row per model."""
     model = resolve_column(rates, S.MODEL_ALIASES)
-    percent = resolve_column(
-        rates, [*S.FAT_PERCENT_ALIASES, *S.MARGIN_PERCENT_ALIASES]
-    )
+    percent = resolve_column(rates, S.CALC_PERCENT_ALIASES)
     target = resolve_column(rates, S.TARGET_ALIASES, required=False)
     columns = {
         "modelo": norm_key(quoted(model)),

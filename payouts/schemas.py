@@ -179,6 +179,20 @@ MARGIN_PERCENT_ALIASES = (
     "% Comissão Margem", "% Comissão Margem.", "% Comissao Margem",
     "% Comissao Margem.", "percentual_comissao_margem",
 )
+# The calculation and the audit prefer other headers where a table has several (fixed values).
+CALC_PERCENT_ALIASES = (
+    "percentual", "Percentual",
+    "% Comissão Fat.", "% Comissão Fat", "% Comissao Fat.", "% Comissao Fat",
+    "% Comissão Margem", "% Comissão Margem.", "% Comissao Margem", "% Comissao Margem.",
+)
+AUDIT_FAT_PERCENT_ALIASES = (
+    "Percentual", "% Comissão Fat.", "% Comissão Fat", "% Comissao Fat.", "% Comissao Fat",
+    "% Comissão NF", "% Comissao NF", "percentual", "percentual_comissao_fat",
+)
+AUDIT_MARGIN_PERCENT_ALIASES = (
+    "Percentual", "% Comissão Margem", "% Comissão Margem.", "% Comissao Margem",
+    "% Comissao Margem.", "percentual", "percentual_comissao_margem",
+)
 TARGET_ALIASES = (
     "Meta", "meta", "Meta de Margem", "Meta Margem", "meta_margem",
     "% Meta de Margem", "% Meta Margem", "Meta de Margem %", "Meta Margem %",

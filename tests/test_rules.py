@@ -104,3 +104,12 @@ def test_settlement_views_cover_all_rows(spark):
     assert (totals["registros"], totals["linhas_historico"], totals["bloqueadas_pagamento"], totals["excluidas"]) == (2, 4, 1, 1)
     only_paid, everything = H.paid_history_filter(base, None, None)
     assert only_paid.count() == everything.count() == 4
+
+
+def test_calculation_and_audit_prefer_their_own_header(spark):
+    from payouts.operators.audit import allowed_fat_rates
+    from payouts.operators.rules import calc_rate_table
+
+    rates = spark.createDataFrame([("M", 1.0, 2.0)], "modelo string, percentual double, `% Comissão Fat.` double")
+    assert calc_rate_table(rates).first()["percentual"] == 1.0
+    assert allowed_fat_rates(rates).first()["percentuais_fat"] == [2.0]
