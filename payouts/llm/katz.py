@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payouts.llm.common import cut, new_folder, text_of
+from payouts.llm.common import cut, new_folder, release, text_of
 from payouts.llm.text_arrays import BLOCK, LOWER_BYTES, mixed, parts, range_hashes, text_bytes, word_ranges
 
 START, END = np.uint64(1), np.uint64(2)
@@ -46,19 +46,24 @@ _HEAD = np.dtype([("h", "<i4"), ("w", "<i4"), ("n", "<i4"), ("docs", "<i4")])
 
 def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Earlier and later tokens of all pairs, the text of each pair, and the number of tokens of each text."""
-    data, offsets = text_bytes(texts)
-    data = LOWER_BYTES[data]
-    starts, ends, before = word_ranges(data, offsets)
-    words = range_hashes(data, starts, ends)
-    n = np.diff(before)
-    row = np.repeat(np.arange(len(n)), n + 1)
-    first = before[:-1] + np.arange(len(n))
-    earlier, later = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
-    at = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
-    earlier[first] = START
-    earlier[at + 1] = words
-    later[at] = words
-    later[first + n] = END
+    hashes, counts = [], []
+    for begin, end in parts(texts, 2 * BLOCK):  # what is worked out for each byte is not kept
+        data, offsets = text_bytes(texts.slice(begin, end - begin))
+        data = LOWER_BYTES[data]
+        starts, ends, before = word_ranges(data, offsets)
+        hashes.append(range_hashes(data, starts, ends))
+        counts.append(np.diff(before))
+    words, n = np.concatenate(hashes), np.concatenate(counts)
+    del hashes
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+    first = np.cumsum(n + 1) - (n + 1)
+    inner = np.ones(len(row), bool)
+    inner[first] = False
+    earlier, later = np.full(len(row), START), np.full(len(row), END)
+    earlier[inner] = words
+    inner = np.ones(len(row), bool)
+    inner[first + n] = False
+    later[inner] = words
     return earlier, later, row, n + 1
 
 
@@ -145,7 +150,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, w, hi, wi, number = _unpacked(pack.as_py())
             fresh.append((h[hi], w[wi], number))
             waiting += len(number)
-            if waiting > 2_000_000 + len(fresh[0][0]):
+            if waiting > 1_000_000 + len(fresh[0][0]):
                 fresh, waiting = [total()], 0
     if fresh:
         yield from flush()
@@ -238,24 +243,26 @@ def _score_packs(buckets: int):
                 keys = np.asarray(part.column("row"))
                 found = [(b, _packed(earlier[at], later[at], row[at])) for b, at in _by_bucket(earlier, buckets)]
                 size, whole, kind = len(found), len(keys), part.schema.field("id").type
-                # A pack's texts are numbered from the first row of the part; row numbers of a task follow one another.
+                # The number of its first row names the part; its texts are counted from there.
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in found], pa.int32()), pa.array(np.full(size, 2, np.int8)), pa.array(np.full(size, keys[0], np.int64)), pa.nulls(size, pa.int64()),
-                    pa.array([x[1] for x in found], pa.binary()), pa.nulls(size, kind), pa.nulls(size, pa.bool_())], names=_NAMES)
+                    pa.nulls(size, pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.nulls(size, kind), pa.nulls(size, pa.bool_())], names=_NAMES)
                 # One row a text that carries its identifier, dealt over all buckets.
                 yield pa.RecordBatch.from_arrays([
-                    pa.array((keys % buckets).astype(np.int32)), pa.array(np.full(whole, 3, np.int8)), pa.array(keys), pa.array(n.astype(np.int64)),
-                    pa.nulls(whole, pa.binary()), part.column("id"), part.column("held_out")], names=_NAMES)
+                    pa.array((keys % buckets).astype(np.int32)), pa.array(np.full(whole, 3, np.int8)), pa.array(np.full(whole, keys[0], np.int64)), pa.array(n.astype(np.int64)),
+                    pa.array(np.arange(whole, dtype=np.int32)), pa.nulls(whole, pa.binary()), part.column("id"), part.column("held_out")], names=_NAMES)
 
     return walk
 
 
-_NAMES = ["bucket", "kind", "h", "w", "pack", "id", "held_out"]
-_PARTIAL = ["row", "n", "base", "score", "known", "id", "held_out"]
+_NAMES = ["bucket", "kind", "h", "w", "place", "pack", "id", "held_out"]
+_PARTIAL = ["part", "place", "n", "sums", "id", "held_out"]
+_SUMS = np.dtype([("place", "<i4"), ("known", "<i4"), ("base", "<f8"), ("score", "<f8")])
 
 
 def _bucket_scores(tokens: int, types: int, unknown: float):
-    """Of a bucket's rows in order of kind (0 words, 1 pairs, 2 packs, 3 texts): partial sums for the texts of each pack.
+    """Of a bucket's rows in order of kind (0 words, 1 pairs, 2 packs, 3 texts): partial sums for the texts of each pack, in
+    one row, and the rows of kind 3.
 
     Holds the bucket's tables and one pack.
     """
@@ -292,12 +299,13 @@ def _bucket_scores(tokens: int, types: int, unknown: float):
             seen_at, seen = found(pair, mixed(h)[hi] + w[wi])
             bonus = np.where(seen, (gain[seen_at] if len(gain) else 0.0) - (some(whole, 0.0) + some(back, 0.0))[hi], 0.0)
             n = int(text.max()) + 1
-            held = np.bincount(text, minlength=n) > 0
-            out = [np.bincount(text, x, n)[held] for x in (base[hi], (own[hi] + bonus), (known & ~is_start)[hi])]
-            size = int(held.sum())
+            held = np.flatnonzero(np.bincount(text, minlength=n))
+            out = np.empty(len(held), _SUMS)
+            out["place"] = held
+            for name, x in (("base", base[hi]), ("score", own[hi] + bonus), ("known", (known & ~is_start)[hi])):
+                out[name] = np.bincount(text, x, n)[held]
             return pa.RecordBatch.from_arrays([
-                pa.array(first + np.flatnonzero(held)), pa.nulls(size, pa.int64()), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int64)),
-                pa.nulls(size, kind_of_id), pa.nulls(size, pa.bool_())], names=_PARTIAL)
+                pa.array([first], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, kind_of_id), pa.nulls(1, pa.bool_())], names=_PARTIAL)
 
         for batch in batches:
             kind_of_id = batch.schema.field("id").type
@@ -316,24 +324,57 @@ def _bucket_scores(tokens: int, types: int, unknown: float):
                     for first, pack in zip(part.column("h").to_pylist(), part.column("pack"), strict=True):
                         yield sums(pack.as_py(), first)
                 else:
-                    zero = pa.array(np.zeros(part.num_rows))
-                    yield pa.RecordBatch.from_arrays([part.column("h"), part.column("w"), zero, zero, pa.array(np.zeros(part.num_rows, np.int64)), part.column("id"), part.column("held_out")], names=_PARTIAL)
+                    yield pa.RecordBatch.from_arrays([part.column("h"), part.column("place"), part.column("w"), pa.nulls(part.num_rows, pa.binary()), part.column("id"), part.column("held_out")], names=_PARTIAL)
 
     return walk
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of part: the sums of each of its texts. Holds one part, whose size PACK bounds."""
+    part, texts, sums = None, [], []
+
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(texts).combine_chunks()
+        place = table.column("place").to_numpy()
+        total = np.zeros(int(place.max()) + 1, _SUMS)
+        for x in sums:
+            some = np.frombuffer(x, _SUMS)
+            for name in ("base", "score", "known"):
+                total[name][some["place"]] += some[name]
+        mine = total[place]
+        columns = [table.column(c).chunk(0) for c in ("id", "held_out", "n")]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(mine[c])) for c in ("base", "score")), pa.array(mine["known"].astype(np.int64))], names=["id", "held_out", "n", "base", "score", "known"])
+
+    for batch in batches:
+        parts_here = np.asarray(batch.column("part"))
+        cuts = np.flatnonzero(np.append(True, parts_here[1:] != parts_here[:-1])) if len(parts_here) else parts_here
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(parts_here)], strict=True):
+            if parts_here[low] != part:
+                if texts:
+                    yield flush()
+                part, texts, sums = parts_here[low], [], []
+            rows = batch.slice(low, high - low)
+            is_text = rows.column("sums").is_null()
+            texts.append(rows.filter(is_text))
+            sums += [x.as_py() for x in rows.column("sums").drop_null()]
+    if texts:
+        yield flush()
+
+
 def scored(docs: DataFrame, held_out: Column, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: its identifier, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`.
     The model learns from the rows that are not held out."""
     model = Model(docs, ~held_out, text)
+    release(docs.sparkSession)  # the counts, now that the tables are stored
     kind = docs.schema[identifier].dataType.simpleString()
     # The row numbers hold within this one job, which is where packs and identifiers part and meet again.
     source = docs.select(F.col(identifier).alias("id"), text_of(text).alias("text"), held_out.alias("held_out")).withColumn("row", F.monotonically_increasing_id())
-    packs = source.mapInArrow(_score_packs(model.buckets), f"bucket int, kind byte, h long, w long, pack binary, id {kind}, held_out boolean")
+    packs = source.mapInArrow(_score_packs(model.buckets), f"bucket int, kind byte, h long, w long, place int, pack binary, id {kind}, held_out boolean")
     met = model.rows().unionByName(packs, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    partial = met.mapInArrow(_bucket_scores(model.tokens, model.types, model.unknown), f"row long, n long, base double, score double, known long, id {kind}, held_out boolean")
-    total = partial.groupBy("row").agg(*(F.max(c).alias(c) for c in ("id", "held_out", "n")), *(F.sum(c).alias(c) for c in ("base", "score", "known")))
+    partial = met.mapInArrow(_bucket_scores(model.tokens, model.types, model.unknown), f"part long, place int, n long, sums binary, id {kind}, held_out boolean")
+    by_part = partial.repartition("part").sortWithinPartitions("part")
+    total = by_part.mapInArrow(_totals, f"id {kind}, held_out boolean, n long, base double, score double, known long")
     base_of_end = math.log10((model.ends + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
     return total.select(
-        F.col("id").alias(identifier), "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.lit(int(model.ends > 0))).alias("n_known"),
+        F.col("id").alias(identifier), "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.lit(int(model.ends > 0)).cast("long")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + base_of_end).alias("base_score"), (F.col("score") + math.log10(model.end)).alias("score"))
