@@ -13,6 +13,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space of the text contracts, as a class for Java, RE2 and Python patterns alike.
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 16 * 1024 * 1024
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,20 +42,31 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame from files in the shared folder, so that a lost executor costs no recomputation.
 
-    Spark's cleaner removes those files, and the shuffle files behind them, when the driver's garbage collector finds
-    that they are no longer in use; it is called here, as a driver that only plans has little garbage of its own.
+    Python functions in it get batches of BATCH_BYTES at most, as rows here hold whole texts and sets. Spark's cleaner
+    removes the files, and the shuffle files behind them, when the driver's garbage collector finds that they are no
+    longer in use; it is called here, as a driver that only plans has little garbage of its own.
     """
     context = frame.sparkSession.sparkContext
     folder = shared_folder(frame.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    done = frame.checkpoint(eager=True)
+    before = frame.sparkSession.conf.get(_BATCH)
+    frame.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        done = frame.checkpoint(eager=True)
+    finally:
+        frame.sparkSession.conf.set(_BATCH, before)
     del frame
-    gc.collect()
-    context._jvm.System.gc()
+    release(done.sparkSession)
     return done
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path for a table of this run in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

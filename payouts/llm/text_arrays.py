@@ -34,7 +34,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def parts(column: pa.Array, size: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def parts(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about this many bytes, one row at least."""
     offsets = text_bytes(column)[1]
     begin = 0
