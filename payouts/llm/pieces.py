@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from payouts.llm.common import fresh
-from payouts.llm.text_arrays import mixed, parts, text_bytes
+from payouts.llm.text_arrays import BLOCK, mixed, parts, text_bytes
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +36,7 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Entries of the lattice (words times positions times piece lengths) that are held at a time.
 _LATTICE = 2_000_000
 #: Words whose pieces a Python worker remembers, about 200 bytes each.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _ASKED_BITS = 20
 _PAD = 0x110000  # no character
 
@@ -371,7 +371,7 @@ def _encoded(path: str, text: str, keep: list[str], name: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for begin, end in parts(batch.column(text)):
+            for begin, end in parts(batch.column(text), 2 * BLOCK):
                 part = batch.slice(begin, end - begin)
                 found = own.encode(part.column(text).to_pylist())
                 offsets = np.zeros(len(found) + 1, np.int32)
@@ -415,7 +415,7 @@ def _digested(path: str):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, v = encoder(path), load(path)
         for batch in batches:
-            for begin, end in parts(batch.column("text")):
+            for begin, end in parts(batch.column("text"), 2 * BLOCK):
                 part = batch.slice(begin, end - begin)
                 found = own.encode(part.column("text").to_pylist())
                 bounds = np.append(0, np.cumsum([len(f) // 4 for f in found]))
