@@ -7,11 +7,13 @@ presentation and the mean content importance of the leaves below, with weight on
 styles. Branches of low importance, which the host repeats alike, are cut out of every page.
 
 Marked roles are decided before: navigation, footers, forms, scripts, and elements whose class, identifier or role
-names an advert, a menu, a notice, comments and the like never count; where a page has an article or main element,
-its main text is there, whatever other pages hold. The tree decides on everything else.
+names an advert, a menu, a notice, comments and the like never count. The tree decides on everything else, inside
+article and main elements too, where they are a prior: there a branch goes only if its text itself is repeated (parts
+of a sentence or of a table row stay with the rest), and of what the tree leaves, the text outside them goes unless it
+is PRIOR times as long as theirs (of several articles, as list pages and teaser cards have them, as the longest).
 
-The statistics are sums by host and path, combined in each task before they are shuffled; a page takes part with its
-undecided nodes only.
+The statistics are sums by host and path, combined in each task before they are shuffled. A page counts once for a path,
+with the texts of all its elements there.
 
 Defined results: a missing or empty page has an empty text; a page without a host is a host of its own kind with the
 others; repeated rows are all returned; an unclosed or wrongly nested element ends with its parent; an empty table
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 
 from payouts.llm.common import cut
 
-#: A node needs so many occurrences on a host before it can be found repeated.
+#: A node needs so many pages of a host before it can be found repeated.
 OCCURRENCES = 3
 THRESHOLD = 0.2
 SALTS = 64
 DECAY = 0.9
+#: Text outside article and main needs so many times their words to count.
+PRIOR = 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -44,6 +48,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _NOISE = frozenset("nav footer aside form header menu button select option dialog head object audio video canvas map".split())
 _MAIN = frozenset(("article", "main"))
+_IN_MAIN = r"/(article|main)[./]"
+#: Inside article and main these are not cut out of what they are part of.
+_PARTS = _INLINE | frozenset("td th tr tbody thead tfoot dt dd".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|side-?bar|widgets?|menus?|nav|navbar|navigation|"
     r"breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|share|sharing|social|related|recommend\w*|login|signup|search|pagination|pager)(?:$|[\s_-])", re.I)
@@ -53,13 +60,12 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 
 
 class _Element:
-    __slots__ = ("children", "main", "noise", "path", "tag", "texts", "undecided")
+    __slots__ = ("children", "main", "noise", "path", "tag", "texts")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
+    def __init__(self, tag: str, path: str, noise: bool, main: int):
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
         self.children: list[str] = []
         self.texts: list[str] = []
-        self.undecided = True
 
 
 def _hidden(attributes: str) -> tuple[bool, str]:
@@ -84,9 +90,10 @@ def _hidden(attributes: str) -> tuple[bool, str]:
 
 def walk_page(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, list[_Element]]:
     """The main text of the page without removed paths, and its undecided elements."""
-    root = _Element("", "", False, False)
+    root = _Element("", "", False, 0)
     stack, elements = [root], []
-    blocks: list[tuple[bool, str]] = []  # in an article or main element or not
+    blocks: list[tuple[int, str]] = []  # number of the outermost article or main element around it, or 0
+    mains: list[str] = []
     open_block: list[str] = []
 
     def finish() -> None:
@@ -110,7 +117,6 @@ def walk_page(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, li
                 text = entities.unescape(raw)
                 if not here.noise:
                     open_block.append(text)
-                if not here.main and not here.noise:
                     for element in stack:
                         element.texts.append(text)
             continue
@@ -147,28 +153,35 @@ def walk_page(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, li
         name = tag + "".join(f".{c}" for c in kind.split())
         path = f"{above.path}/{name}"
         whole = tag in ("html", "body")
-        element = _Element(tag, path, above.noise or (noise and not whole) or (tag in _NOISE and not (tag == "header" and above.main)) or path in removed, above.main or tag in _MAIN)
+        element = _Element(tag, path, above.noise or (noise and not whole) or (tag in _NOISE and not (tag == "header" and above.main)) or path in removed, above.main)
         above.children.append(name)
-        if element.noise or element.main:  # what holds a decided element is not cut out as a whole
-            if element.main and not element.noise:
-                for e in stack:
-                    e.undecided = False
-        elif not whole:
+        if tag in _MAIN and not element.main:
+            mains.append(tag)
+            element.main = len(mains)
+        if not (element.noise or whole or tag in _MAIN or (above.main and tag in _PARTS)):
             elements.append(element)
         stack.append(element)
     close(1)
     finish()
-    wanted = any(main for main, _ in blocks)
-    return "\n".join(text for main, text in blocks if main or not wanted), [e for e in elements if e.undecided]
+    words = [0] * (len(mains) + 1)
+    for main, text in blocks:
+        words[main] += len(text.split())
+    most = max(words[1:], default=0)
+    wanted = most > 0 and most * (PRIOR if "main" in mains or len(mains) == 1 else 1) >= words[0]
+    return "\n".join(text for main, text in blocks if main or not wanted), elements
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"], strict=True):
+            nodes: dict[str, list[tuple[str, str]]] = {}
             for e in walk_page(page)[1]:
                 if content := " ".join("".join(e.texts).split()):
-                    rows.append((host, e.path, " ".join(e.children), content, not e.children))
+                    nodes.setdefault(e.path, []).append((" ".join(e.children), content))
+            for path, some in nodes.items():
+                styles = sorted({style for style, _ in some})
+                rows.append((host, path, "\n".join(styles), "\n".join(content for _, content in some), styles == [""]))
         frame = pd.DataFrame(rows, columns=["host", "path", "style", "content", "leaf"])
         for c in ("style", "content"):
             frame[c] = pd.util.hash_array(frame[c].to_numpy(object), categorize=False).view("int64") if len(frame) else frame[c].astype("int64")
@@ -194,7 +207,8 @@ def importance(pages: DataFrame) -> DataFrame:
     below = above.groupBy("host", "path").agg(F.avg("said").alias("below"))
     joined = look.join(said, ["host", "path"]).join(below, ["host", "path"], "left")
     weight = F.pow(F.lit(DECAY), F.col("kinds"))
-    return joined.select("host", "path", "n", ((1 - weight) * F.col("look") + weight * F.least(F.coalesce("below", "said"), "said")).alias("importance"))
+    score = (1 - weight) * F.col("look") + weight * F.least(F.coalesce("below", "said"), "said")
+    return joined.select("host", "path", "n", F.when(F.col("path").rlike(_IN_MAIN), F.greatest(score, "said")).otherwise(score).alias("importance"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

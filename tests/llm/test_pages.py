@@ -52,3 +52,19 @@ def test_pages_of_the_sample(spark):
         article = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def texts_of(spark, pages):
+    rows = [(i, "https://h.example/", page) for i, page in enumerate(pages)]
+    return [r["text"] for r in style_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_tree_decides_inside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p><b>Note:</b> story {0} is new</p><table><tr><th>Size<td>{0}</table><div class=bio><h3>About Ann</h3><p>Ann writes here</p></div></article></body>"
+    assert texts_of(spark, [page.format(i) for i in range(5)]) == [f"Title {i}\nNote: story {i} is new\nSize\n{i}" for i in range(5)]
+
+
+def test_body_outside_teaser_articles(spark):
+    page = "<body><div class=text><p>Story {0} is long and new, and it goes on for {0} lines</p></div><article class=card><p>Read this too</p></article><article class=card><p>And that</p></article></body>"
+    assert texts_of(spark, [page.format(i) for i in range(5)]) == [f"Story {i} is long and new, and it goes on for {i} lines" for i in range(5)]
+    assert "goes on for 7 lines" in style_tree.walk_page(page.format(7))[0]
