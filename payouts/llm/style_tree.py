@@ -12,8 +12,9 @@ article and main elements too, where they are a prior: there a branch goes only
 of a sentence or of a table row stay with the rest), and of what the tree leaves, the text outside them goes unless it
 is PRIOR times as long as theirs (of several articles, as list pages and teaser cards have them, as the longest).
 
-The statistics are sums by host and path, combined in each task before they are shuffled. A page counts once for a path,
-with the texts of all its elements there.
+The statistics are sums by host and path over the distinct pages of a host, combined in each task before they are
+shuffled. Pages of equal text are one page, so copies say nothing about what a host repeats. A page counts once for a
+path, with the texts of all its elements there.
 
 Defined results: a missing or empty page has an empty text; a page without a host is a host of its own kind with the
 others; repeated rows are all returned; an unclosed or wrongly nested element ends with its parent; an empty table
@@ -179,13 +180,14 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for e in walk_page(page)[1]:
                 if content := " ".join("".join(e.texts).split()):
                     nodes.setdefault(e.path, []).append((" ".join(e.children), content))
+            whole = "\n".join(content for some in nodes.values() for _, content in some)
             for path, some in nodes.items():
                 styles = sorted({style for style, _ in some})
-                rows.append((host, path, "\n".join(styles), "\n".join(content for _, content in some), styles == [""]))
-        frame = pd.DataFrame(rows, columns=["host", "path", "style", "content", "leaf"])
-        for c in ("style", "content"):
+                rows.append((host, whole, path, "\n".join(styles), "\n".join(content for _, content in some), styles == [""]))
+        frame = pd.DataFrame(rows, columns=["host", "page", "path", "style", "content", "leaf"])
+        for c in ("page", "style", "content"):
             frame[c] = pd.util.hash_array(frame[c].to_numpy(object), categorize=False).view("int64") if len(frame) else frame[c].astype("int64")
-        yield frame.groupby(["host", "path", "style", "content", "leaf"], as_index=False).size().rename(columns={"size": "n"}) if len(frame) else frame.assign(n=0).astype({"n": "int64", "leaf": "bool"})
+        yield frame.drop_duplicates()
 
 
 def _entropy(counts: DataFrame, by: str, name: str) -> DataFrame:
@@ -197,7 +199,8 @@ def _entropy(counts: DataFrame, by: str, name: str) -> DataFrame:
 
 def importance(pages: DataFrame) -> DataFrame:
     """`host`, `path`, `n` occurrences and composite `importance` of the undecided nodes. Pages have `host` and `html`."""
-    counts = cut(pages.select("host", "html").mapInPandas(_nodes, "host string, path string, style long, content long, leaf boolean, n long").groupBy("host", "path", "style", "content", "leaf").agg(F.sum("n").alias("n")))
+    nodes = pages.select("host", "html").mapInPandas(_nodes, "host string, page long, path string, style long, content long, leaf boolean").distinct()
+    counts = cut(nodes.groupBy("host", "path", "style", "content", "leaf").agg(F.count("*").alias("n")))
     look = _entropy(counts, "style", "look")
     said = _entropy(counts, "content", "said").select("host", "path", "said")
     leaves = _entropy(counts.filter("leaf"), "content", "said").select("host", "path", "said")

@@ -68,3 +68,10 @@ def test_body_outside_teaser_articles(spark):
     page = "<body><div class=text><p>Story {0} is long and new, and it goes on for {0} lines</p></div><article class=card><p>Read this too</p></article><article class=card><p>And that</p></article></body>"
     assert texts_of(spark, [page.format(i) for i in range(5)]) == [f"Story {i} is long and new, and it goes on for {i} lines" for i in range(5)]
     assert "goes on for 7 lines" in style_tree.walk_page(page.format(7))[0]
+
+
+def test_copies_of_a_page_are_one(spark):
+    page = "<body><div class=top><p>Welcome</p></div><div class=text><p>Story {0} is new</p></div></body>"
+    assert texts_of(spark, [page.format(1)] * 4) == ["Welcome\nStory 1 is new"] * 4
+    found = texts_of(spark, [page.format(max(0, i - 90)) for i in range(100)])
+    assert found == [f"Story {max(0, i - 90)} is new" for i in range(100)]
