@@ -6,8 +6,9 @@ node two distributions over its occurrences count: how its children look (presen
 presentation and the mean content importance of the leaves below, with weight on the leaves falling with the number of
 styles. Branches of low importance, which the host repeats alike, are cut out of every page.
 
-Marked roles are decided before: navigation, footers, forms, scripts, and elements whose class, identifier or role
-names an advert, a menu, a notice, comments and the like never count. The tree decides on everything else, inside
+Marked roles are decided before: navigation, footers, forms, scripts, and elements whose role or a whole class name or
+identifier says that they are an advert, a menu, a cookie notice, comments and the like never count; class names and
+identifiers of article and main say nothing. The tree decides on everything else, inside
 article and main elements too, where they are a prior: there a branch goes only if its text itself is repeated (parts
 of a sentence or of a table row stay with the rest), and of what the tree leaves, the text outside them goes unless it
 is PRIOR times as long as theirs (of several articles, as list pages and teaser cards have them, as the longest).
@@ -52,9 +53,14 @@ _MAIN = frozenset(("article", "main"))
 _IN_MAIN = r"/(article|main)[./]"
 #: Inside article and main these are not cut out of what they are part of.
 _PARTS = _INLINE | frozenset("td th tr tbody thead tfoot dt dd".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|side-?bar|widgets?|menus?|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|replies|share|sharing|social|related|recommend\w*|login|signup|search|pagination|pager)(?:$|[\s_-])", re.I)
+#: Whole class names and identifiers that name the role of their own element.
+_NAMES = frozenset((
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle ad-banner ad-container ad-slot ad-unit ad-wrapper sponsor sponsors sponsored sponsored-content "
+    "cookie cookies cookie-bar cookie-banner cookie-consent cookie-notice cookie-popup consent gdpr gdpr-notice popup modal newsletter newsletter-signup subscribe subscription sidebar side-bar widget widgets widget-area "
+    "menu menus main-menu nav-menu nav navbar nav-bar navigation main-navigation site-navigation post-navigation breadcrumb breadcrumbs footer site-footer page-footer "
+    "comments comment-list commentlist comments-area comment-form comment-respond disqus disqus_thread replies share sharing share-buttons share-links social-share social-links login login-form signup signup-form search-form search-box pagination pager").split())
+#: As these, but not inside article and main, where they are a headline's.
+_HEADS = frozenset("header site-header masthead banner".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: An element of the key closes open elements of the value.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -69,15 +75,15 @@ class _Element:
         self.texts: list[str] = []
 
 
-def _hidden(attributes: str) -> tuple[bool, str]:
-    """Whether the attributes mark noise, and the class."""
-    noise, kind = False, ""
+def _hidden(attributes: str) -> tuple[bool, set[str], str]:
+    """Whether the attributes mark noise, the class names and identifiers, and the class."""
+    noise, names, kind = False, set(), ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "class":
             kind = value
         if name in ("class", "id"):
-            noise |= bool(_NAMES.search(value))
+            names.update(value.lower().split())
         elif name == "role":
             noise |= value.strip().lower() in _ROLES
         elif name == "hidden":
@@ -86,7 +92,7 @@ def _hidden(attributes: str) -> tuple[bool, str]:
             noise |= value.lower() == "true"
         else:
             noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return noise, kind
+    return noise, names, kind
 
 
 def walk_page(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, list[_Element]]:
@@ -150,7 +156,9 @@ def walk_page(page: str, removed: frozenset[str] = frozenset()) -> tuple[str, li
                     break
             finish()
         above = stack[-1]
-        noise, kind = _hidden(attributes) if attributes else (False, "")
+        noise, names, kind = _hidden(attributes) if attributes else (False, (), "")
+        if tag not in _MAIN:
+            noise |= not _NAMES.isdisjoint(names) or not (above.main or _HEADS.isdisjoint(names))
         name = tag + "".join(f".{c}" for c in kind.split())
         path = f"{above.path}/{name}"
         whole = tag in ("html", "body")

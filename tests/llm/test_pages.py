@@ -75,3 +75,13 @@ def test_copies_of_a_page_are_one(spark):
     assert texts_of(spark, [page.format(1)] * 4) == ["Welcome\nStory 1 is new"] * 4
     found = texts_of(spark, [page.format(max(0, i - 90)) for i in range(100)])
     assert found == [f"Story {max(0, i - 90)} is new" for i in range(100)]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article class='post has-sidebar'><div class=entry-header><h1>Head</h1></div><p>x</p></article>", "Head\nx"),
+    ("<main class=no-sidebar id=search><div class=header><h1>Head</h1></div><p>x</p></main>", "Head\nx"),
+    ("<div class=search-results><p>x</p></div><div class='related'>y</div><div class=social>z</div>", "x\ny\nz"),
+    ("<div class='box Sidebar'>x</div><div id=comments>y</div><div class=site-header>z</div><p>in</p>", "in"),
+])
+def test_names_of_roles_are_whole(page, text):
+    assert style_tree.walk_page(page)[0] == text
