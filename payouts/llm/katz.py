@@ -1,8 +1,9 @@
 """A Katz backoff language model with Good-Turing discounts, and the log-probabilities of texts under it.
 
 Tokens are the words of a text, A-Z in lower case, then one end; the first token follows a start. The tables hold
-single tokens, and pairs of neighbours that occur at least twice in training (a pair that occurs once is treated as
-unseen; its probability goes to backing off). Discounts come from the counts of counts of all training tokens and
+single tokens, and pairs of neighbours that occur in training `least` times or more: with 1 all of them, each with its
+discount; with 2, the default, a pair that occurs once is treated as unseen and its probability goes to backing off.
+Discounts come from the counts of counts of all training tokens and
 pairs. With p1 for single tokens, an unknown word having what their discounts leave,
 
     p(w | h) = d c(h, w) / c(h)   where the pair is in the table,   else   a(h) p1(w),
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payouts.llm.common import cut, new_folder, release, text_of
+from payouts.llm.common import _BATCH, BATCH_BYTES, new_folder, release, text_of
 from payouts.llm.text_arrays import BLOCK, LOWER_BYTES, mixed, parts, range_hashes, text_bytes, word_ranges
 
 START, END = np.uint64(1), np.uint64(2)
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-#: Pairs that occur less often are not in the table.
+#: Pairs that occur less often are not in the table, if no other number is given.
 LEAST = 2
 #: Bytes of text whose pairs are packed together.
 PACK = 12 * BLOCK
@@ -123,37 +124,42 @@ def _summed(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     return h[first], w[first], np.bincount(place, c, len(first)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packs in order of bucket: token counts (kind 0), pair counts from LEAST up (kind 1), counts of low counts of
+def _counted(least: int):
+    """Of packs in order of bucket: token counts (kind 0), pair counts from the least up (kind 1), counts of low counts of
     pairs (kind 2). Holds the distinct pairs of one bucket and the packs since they were last summed."""
-    bucket, fresh, waiting = None, [], 0
 
-    def total() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _summed(*(np.concatenate(x) for x in zip(*fresh, strict=True)))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, fresh, waiting = None, [], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _summed(*(np.concatenate(x) for x in zip(*fresh, strict=True)))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, w, c = total()
+            token, place = np.unique(h, return_inverse=True)
+            often = np.flatnonzero(c >= least)
+            often = often[np.argsort(h[often], kind="stable")]  # equal tokens together take little room in files
+            low = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1: DISCOUNTED + 2]
+            for kind, a, b, n in ((0, token, token, np.bincount(place, c, len(token)).astype(np.int64)), (1, h[often], w[often], c[often]), (2, np.arange(1, len(low) + 1), np.arange(1, len(low) + 1), low)):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(a), kind, np.int8)), pa.array(np.full(len(a), bucket, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["kind", "bucket", "h", "w", "c"])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        h, w, c = total()
-        token, place = np.unique(h, return_inverse=True)
-        often = c >= LEAST
-        low = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1: DISCOUNTED + 2]
-        for kind, a, b, n in ((0, token, token, np.bincount(place, c, len(token)).astype(np.int64)), (1, h[often], w[often], c[often]), (2, np.arange(1, len(low) + 1), np.arange(1, len(low) + 1), low)):
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(a), kind, np.int8)), pa.array(np.full(len(a), bucket, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))],
-                names=["kind", "bucket", "h", "w", "c"])
+        for batch in batches:
+            for b, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
+                if b != bucket:
+                    if fresh:
+                        yield from flush()
+                    bucket, fresh, waiting = b, [], 0
+                h, w, hi, wi, number = _unpacked(pack.as_py())
+                fresh.append((h[hi], w[wi], number))
+                waiting += len(number)
+                if waiting > 1_000_000 + len(fresh[0][0]):
+                    fresh, waiting = [total()], 0
+        if fresh:
+            yield from flush()
 
-    for batch in batches:
-        for b, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
-            if b != bucket:
-                if fresh:
-                    yield from flush()
-                bucket, fresh, waiting = b, [], 0
-            h, w, hi, wi, number = _unpacked(pack.as_py())
-            fresh.append((h[hi], w[wi], number))
-            waiting += len(number)
-            if waiting > 1_000_000 + len(fresh[0][0]):
-                fresh, waiting = [total()], 0
-    if fresh:
-        yield from flush()
+    return walk
 
 
 def discounts(low: dict[int, int]) -> list[float]:
@@ -181,17 +187,28 @@ def _long(token: np.uint64) -> int:
     return int(np.array([token]).view(np.int64)[0])
 
 
+_COUNTS = "kind byte, bucket int, h long, w long, c long"
+
+
 class Model:
     """The tables in the shared folder, partitioned by bucket, and the few numbers that belong to them."""
 
-    def __init__(self, docs: DataFrame, train: Column, text: str = "text"):
+    def __init__(self, docs: DataFrame, train: Column, text: str = "text", least: int = LEAST):
         spark = docs.sparkSession
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         source = docs.filter(train).select(text_of(text).alias("text"))
         packs = source.mapInArrow(_count_packs(self.buckets), "bucket int, pack binary")
         ordered = packs.repartition("bucket").sortWithinPartitions("bucket")
-        counts = cut(ordered.mapInArrow(_counted, "kind byte, bucket int, h long, w long, c long"))
+        folder = new_folder(spark, "katz-counts")
+        before = spark.conf.get(_BATCH)
+        spark.conf.set(_BATCH, BATCH_BYTES)
+        try:
+            ordered.mapInArrow(_counted(least), _COUNTS).write.parquet(folder)
+        finally:
+            spark.conf.set(_BATCH, before)
         del packs, ordered
+        release(spark)
+        counts = spark.read.schema(_COUNTS).parquet(folder)
         starts = counts.filter(f"kind = 0 AND h = {_long(START)}").agg(F.sum("c")).first()[0] or 0  # one row: the texts
         words = counts.filter(f"kind = 0 AND h != {_long(START)}").select("bucket", "h", "c")
         n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -199,7 +216,7 @@ class Model:
         low = {r["c"]: r["n"] for r in words.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
         single = discounts(low)
         pair = discounts({r["h"]: r["n"] for r in counts.filter("kind = 2").groupBy("h").agg(F.sum("c").alias("n")).collect()})
-        pair[: LEAST - 1] = [0.0] * (LEAST - 1)
+        pair[: least - 1] = [0.0] * (least - 1)
         discounted = words.agg(F.coalesce(F.sum(F.col("c") * _factor(F.col("c"), single)), F.lit(0.0))).first()[0]
         # The end is a type of its own and is left as it is. Discounts always leave something unless all counts are high.
         spare = 0.5 if self.tokens and self.tokens - discounted - starts < 1e-9 else 0.0
@@ -223,7 +240,7 @@ class Model:
     def _stored(self, rows: DataFrame, name: str) -> DataFrame:
         """The table from files of the shared folder, partitioned by bucket."""
         folder = new_folder(rows.sparkSession, f"katz-{name}")
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        rows.repartition("bucket").sortWithinPartitions("bucket", "h").write.partitionBy("bucket").parquet(folder)
         return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
     def rows(self) -> DataFrame:
@@ -361,10 +378,10 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def scored(docs: DataFrame, held_out: Column, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, identifier: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """One row for each row: its identifier, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`.
     The model learns from the rows that are not held out."""
-    model = Model(docs, ~held_out, text)
+    model = Model(docs, ~held_out, text, least)
     release(docs.sparkSession)  # the counts, now that the tables are stored
     kind = docs.schema[identifier].dataType.simpleString()
     # The row numbers hold within this one job, which is where packs and identifiers part and meet again.

@@ -61,7 +61,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return katz.scored(docs, toxicity.held_out("doc_id", 5, 1))
+    return katz.scored(docs, toxicity.held_out("doc_id", 5, 1), least=1)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_katz_backoff)}

@@ -159,3 +159,18 @@ def test_katz_at_the_edges(spark, edge_docs, no_docs, monkeypatch):
 def test_discounts_lie_between_zero_and_one():
     for low in ({}, {1: 5}, {1: 10, 2: 20, 3: 1}, {r: 1000 // r**2 for r in range(1, 8)}, {r: 5 for r in range(1, 8)}):
         assert all(0 < d < 1 for d in katz.discounts(low))
+
+
+def test_katz_query_keeps_pairs_seen_once(spark, sample):
+    """The query's scores are those of a table of all pairs, each with its discount."""
+    texts = [(r["doc_id"], r["text"]) for r in sample.collect()]
+    model = Brute([t for i, t in texts if not of_fifth(i)])
+    pair = Counter((h, w) for i, t in texts if not of_fifth(i) for h, w in zip(["<start>", *tokens(t)], tokens(t), strict=False))
+    factors = katz.discounts(Counter(pair.values()))
+    model.table = {k: c * (factors[c - 1] if c <= katz.DISCOUNTED else 1) for k, c in pair.items()}
+    model.left, model.used = defaultdict(float), defaultdict(float)
+    for (h, w), d in model.table.items():
+        model.left[h] += d
+        model.used[h] += model.p[w]
+    found = {r["doc_id"]: r["score"] for r in queries.op10_katz_backoff(spark, "/root/testdata/sf0.001").collect()}
+    assert found == pytest.approx({i: model.row(t)[4] for i, t in texts}, abs=1e-6)
