@@ -118,3 +118,19 @@ def test_license_lines_of_the_sample(sample):
              "GPL-3.0-only": "licensed under the gnu general public license, version 3"}
     wanted = {r["doc_id"]: ",".join(sorted(k for k, v in lines.items() if v in r["text"].lower())) for r in sample.collect()}
     assert {r["doc_id"]: r["licenses"] for r in license_windows.scanned(sample).collect()} == wanted
+
+
+NOTICES = [
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+    ("This is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0-or-later"),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n Copyright (C) 1989", "GPL-2.0-only"), ("licensed under the GNU Affero General Public License, version 3", "AGPL-3.0-only"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Released under MIT License", "MIT"), ("This is free and unencumbered software, released into the public domain. Anyone is free to copy, change, publish, use, compile, sell, or distribute this software", "Unlicense"),
+    (license_windows._CLAUSES + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS", "BSD-2-Clause"),
+    (license_windows._CLAUSES + " Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause"),
+]
+
+
+def test_altered_notices(spark):
+    docs = spark.createDataFrame([(i, f"some words first {x} and some after") for i, (x, _) in enumerate(NOTICES)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in license_windows.scanned(docs).collect()}
+    assert found == {i: name for i, (_, name) in enumerate(NOTICES)}
