@@ -45,7 +45,11 @@ def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         kind = _CLASS[data[low:high]]
         # One trigram for each byte of the slice; beyond the data lies a bound.
         kind = np.concatenate([np.zeros(int(begin == low), np.uint32), kind, np.zeros(int(begin + _SLICE + 1 > len(data)), np.uint32)])
-        number = kind[:-2] << 12 | kind[1:-1] << 6 | kind[2:]
+        # A text's neighbours are bounds too.
+        edges = offsets[(offsets >= begin) & (offsets <= begin + len(kind) - 2)] - begin
+        before, after = kind[:-2].copy(), kind[2:].copy()
+        before[edges[edges < len(before)]] = after[edges[edges > 0] - 1] = _BOUND
+        number = before << 12 | kind[1:-1] << 6 | after
         at = np.flatnonzero(kind[1:-1] != _BOUND)
         yield number[at], np.searchsorted(offsets, begin + at, "right") - 1
 

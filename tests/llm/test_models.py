@@ -174,3 +174,13 @@ def test_katz_query_keeps_pairs_seen_once(spark, sample):
         model.used[h] += model.p[w]
     found = {r["doc_id"]: r["score"] for r in queries.op10_katz_backoff(spark, "/root/testdata/sf0.001").collect()}
     assert found == pytest.approx({i: model.row(t)[4] for i, t in texts}, abs=1e-6)
+
+
+def test_trigrams_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["ab", "", "cde", None, "ab"]
+    alone = [n for t in texts for some, _ in language_codes._trigrams(pa.array([t], pa.string())) for n in some.tolist()]
+    for size in (1, 2, 1 << 20):
+        monkeypatch.setattr(language_codes, "_SLICE", size)
+        assert [n for some, _ in language_codes._trigrams(pa.array(texts)) for n in some.tolist()] == alone
