@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, katz, language_codes, license_windows, pieces, style_tree, toxicity
+from payouts.llm import blob_ledger, content_sort, decontaminate, jaccard_join, katz, language_codes, lexical_search, license_windows, phrase_prints, pieces, prefix_trie, style_tree, toxicity
 from payouts.llm.common import new_folder, table
 
 
@@ -64,7 +64,20 @@ def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return katz.scored(docs, toxicity.held_out("doc_id", 5, 1), least=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_katz_backoff)}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_phrase_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_prints.fingerprints(table(spark, folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations")).drop("tour_enter", "tour_exit")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_ngram_jaccard_join, op4_secret_scan, op5_exact_dedup, op6_toxicity, op7_license_scan, op8_html_extraction, op9_decontamination, op10_katz_backoff,
+                                   op11_lexical_search, op12_phrase_fingerprints, op13_prefix_trie)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -118,3 +131,45 @@ ORACLE = {
             sha256(coalesce(l, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
+
+
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+ORACLE["op11_lexical_search"] = rf"""
+    WITH k AS (SELECT row_number() OVER () AS key, doc_id, t, len(t) AS n FROM (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_TO_LOWER}), {TERMS}) AS t FROM documents) WHERE len(t) > 0),
+    st AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM k),
+    p AS (SELECT key, doc_id, n, term, count(*) AS tf FROM (SELECT key, doc_id, n, unnest(t) AS term FROM k) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    qt AS (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER_TO_LOWER}), {TERMS})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+    s AS (SELECT qt.item_id, qt.text, p.key, p.doc_id,
+            sum(CAST(floor(1000 * ln((2.0 * big_n + 2) / (2.0 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * big_n) // big_l)))) AS score
+          FROM qt JOIN p USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS BIGINT) AS doc_id, CAST(score AS BIGINT) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST, key) AS rank FROM s WHERE score > 0)
+    WHERE rank <= 10"""
+
+ORACLE["op13_prefix_trie"] = r"""
+    WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT c, count(*) AS len, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+    crc(c, s, k, v) AS (SELECT c, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+        UNION ALL SELECT c, s, k + 1, CASE WHEN k % 9 = 0 THEN xor(v, ascii(substr(s, k // 9 + 1, 1)))
+            ELSE xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) END FROM crc WHERE k < 9 * length(s)),
+    convs AS (SELECT ids.c, ids.len, xor(crc.v, 4294967295) % 9 AS h, ids.c - ids.c % 5 AS b, base.len AS len_b
+        FROM ids JOIN crc ON crc.c = ids.c AND crc.k = 9 * length(ids.s) LEFT JOIN ids base ON base.c = ids.c - ids.c % 5),
+    sized AS (SELECT *, least(h, coalesce(len_b, 0)) AS hb, least(h, coalesce(len_b, 0)) + greatest(len - h, 0) AS length FROM convs),
+    r AS (SELECT sized.c, t.pos, t.role, t.text FROM sized JOIN t ON t.c = sized.b AND t.pos < sized.h
+        UNION ALL SELECT sized.c, t.pos - sized.h + sized.hb, t.role, t.text FROM sized JOIN t ON t.c = sized.c AND t.pos >= sized.h),
+    lists AS (SELECT sized.c, sized.length, coalesce((SELECT list(struct_pack(role := r.role, text := r.text) ORDER BY r.pos) FROM r WHERE r.c = sized.c), []) AS l FROM sized),
+    m AS (SELECT c, length, d, list_slice(l, 1, d) AS key, CASE WHEN d = 0 THEN 0 ELSE strlen(l[d].text) END AS bytes
+        FROM (SELECT *, unnest(range(0, length + 1)) AS d FROM lists)),
+    nodes AS (SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = d), '')) AS ends_sha256 FROM m GROUP BY key),
+    linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes ch WHERE ch.depth = n.depth + 1 AND list_slice(ch.key, 1, n.depth) = n.key) AS n_children
+        FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = list_slice(n.key, 1, n.depth - 1))
+    SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, v.parent_conv_id, v.n_convs, v.n_children,
+        count(*) FILTER (u.n_children = 0) AS n_leaves, CAST(sum((u.n_convs - 1) * u.bytes) AS BIGINT) AS saved_tokens, v.ends_sha256
+    FROM linked v JOIN linked u ON u.depth >= v.depth AND list_slice(u.key, 1, v.depth) = v.key
+    GROUP BY v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, v.ends_sha256"""
