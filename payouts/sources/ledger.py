@@ -4,6 +4,9 @@ Ledgers are parquet partitioned by competence. Rule tables are append-only logs:
 write adds a batch with its operation, and readers derive the rows in force.
 """
 
+import hashlib
+import json
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,7 +18,8 @@ from payouts.functions import parse_br_number, parse_date_br, parse_margin_point
 from payouts.operators.shape import is_text, period_rows, quoted
 
 __all__ = [
-    "append_excluded_ledger", "append_paid_ledger", "append_rules", "create_ledger_table",
+    "append_excluded_ledger", "append_paid_ledger", "append_rules", "commit_posting", "create_ledger_table", "manifest", "post",
+    "posting_digest", "stage_posting",
     "create_rule_table", "evolve_table", "export_report", "ledger_by_competence",
     "ledger_by_label", "ledger_period_labels", "period_columns", "prepare_ledger_rows",
     "read_ledger", "rules_in_force", "rules_with_state", "write_incentive_titles",
@@ -86,29 +90,145 @@ def _as_ledger(prepared: DataFrame) -> DataFrame:
     return stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.LEDGER_SCHEMA])
 
 
-def _append(prepared: DataFrame, path: str) -> int:
-    """Append in one job; the row count is observed behind the shuffle, where no task counts twice.
-
-    The rebalance gathers each competence in few files and splits one that is too big.
+# Postings ------------------------------------------------------------------------------
+#
+# A ledger folder holds `postings/posting=<id>.<attempt>/competencia_ano=../competencia_mes=../part-*` and
+# `_manifest/<seq>.json`. A posting's rows are written aside under a fresh attempt; it lands when its manifest entry
+# is created, one small file made with create-if-absent, which is atomic on Hadoop file systems. Readers take only the
+# attempts that the manifest names, so a write broken off before the entry shows nothing, and one broken off after it
+# shows all its rows. A posting whose id is already in the manifest is not written again.
+
+MANIFEST, POSTINGS = "_manifest", "postings"
+_PART, _INSIDE = "_part", "_inside"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def manifest(spark: SparkSession, path: str) -> list[dict]:
+    """The landed postings of a ledger folder in the order they landed: id, attempt, rows, parts, first row id."""
+    fs, folder = _hadoop(spark, f"{path}/{MANIFEST}")
+    if not fs.exists(folder):
+        return []
+    entries = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".json") and not name.startswith("."):
+            stream = fs.open(status.getPath())
+            try:
+                text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            entries.append(json.loads(text))
+    entries.sort(key=lambda e: e["seq"])
+    first = 0
+    for entry in entries:
+        entry["first_id"] = first
+        first += entry["rows"]
+    return entries
+
+
+def posting_digest(prepared: DataFrame) -> str:
+    """An id from the rows themselves (their count and an order-free sum of row hashes), so a posting run again is
+    known; give an explicit id to post equal rows twice on purpose."""
+    row = prepared.select(F.xxhash64(*[F.col(c).cast("string") for c in sorted(prepared.columns)]).alias("_h")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("s")).first()
+    return hashlib.sha256(f"{row['n']}:{row['s']}".encode()).hexdigest()[:32]
+
+
+def stage_posting(prepared: DataFrame, path: str, posting_id: str) -> dict:
+    """Writes the rows aside under a fresh attempt; nobody reads them before `commit_posting`.
+
+    Each row keeps the task that wrote it and its number there; the counts per task, gathered from the written files
+    (one row a task), give dense row ids later without a task that numbers all rows.
     """
-    seen = Observation("ledger_append")
+    spark = prepared.sparkSession
+    attempt = uuid.uuid4().hex[:12]
+    folder = f"{path}/{POSTINGS}/posting={posting_id}.{attempt}"
+    seen = Observation(f"posting_{attempt}")
     rows = _as_ledger(prepared).hint("rebalance", *[F.col(c) for c in S.LEDGER_PARTITIONS])
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*S.LEDGER_PARTITIONS).parquet(path)
-    return int(seen.get["rows"])
-
-
-def append_paid_ledger(rows: DataFrame, path: str, period: dict[str, Column], percent_mode: str = "excel") -> int:
-    """Post paid commissions; returns the number of rows written."""
-    return _append(prepare_ledger_rows(rows, period, percent_mode), path)
-
-
-def append_excluded_ledger(rows: DataFrame, path: str, period: dict[str, Column], percent_mode: str = "excel") -> int:
-    """Post manual exclusions; same shape as the paid ledger, its own table."""
-    return _append(prepare_ledger_rows(rows, period, percent_mode), path)
+    rows = rows.withColumns({_PART: F.spark_partition_id(), _INSIDE: F.monotonically_increasing_id()})
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*S.LEDGER_PARTITIONS).parquet(folder)
+    written = int(seen.get["rows"])
+    parts = [] if not written else [
+        [r[_PART], r["n"]] for r in spark.read.parquet(folder).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).orderBy(_PART).collect()]
+    return {"posting": posting_id, "attempt": attempt, "rows": written, "parts": parts}
+
+
+def commit_posting(spark: SparkSession, path: str, staged: dict) -> bool:
+    """Lands a staged posting by creating its manifest entry; False if its id had landed already."""
+    fs, _ = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    while True:
+        entries = manifest(spark, path)
+        if any(e["posting"] == staged["posting"] for e in entries):
+            return False
+        seq = 1 + max((e["seq"] for e in entries), default=0)
+        entry = jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}/{seq:012d}.json")
+        try:
+            stream = fs.create(entry, False)
+        except Exception as taken:  # another posting took this place: read the manifest again
+            if "FileAlreadyExists" not in str(taken) and "already exists" not in str(taken):
+                raise
+            continue
+        try:
+            stream.write(bytearray(json.dumps({**staged, "seq": seq}).encode()))
+        finally:
+            stream.close()
+        return True
+
+
+def post(prepared: DataFrame, path: str, posting_id: str | None = None) -> int:
+    """Writes prepared ledger rows once: returns the rows that landed, 0 if the posting had landed before."""
+    spark = prepared.sparkSession
+    posting_id = posting_id or posting_digest(prepared)
+    if any(e["posting"] == posting_id for e in manifest(spark, path)):
+        return 0
+    staged = stage_posting(prepared, path, posting_id)
+    if not staged["rows"]:
+        return 0
+    return staged["rows"] if commit_posting(spark, path, staged) else 0
+
+
+def _append(prepared: DataFrame, path: str, posting_id: str | None = None) -> int:
+    return post(prepared, path, posting_id)
+
+
+def append_paid_ledger(rows: DataFrame, path: str, period: dict[str, Column], percent_mode: str = "excel", posting_id: str | None = None) -> int:
+    """Post paid commissions once; returns the number of rows written (0 when this posting had landed)."""
+    return _append(prepare_ledger_rows(rows, period, percent_mode), path, posting_id)
+
+
+def append_excluded_ledger(rows: DataFrame, path: str, period: dict[str, Column], percent_mode: str = "excel", posting_id: str | None = None) -> int:
+    """Post manual exclusions once; same shape as the paid ledger, its own table."""
+    return _append(prepare_ledger_rows(rows, period, percent_mode), path, posting_id)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.LEDGER_SCHEMA).parquet(path)
+    """The landed rows of a ledger folder with a dense row id `id` in landing order; a folder of plain parquet
+    (written before postings) is read as it is."""
+    entries = manifest(spark, path)
+    if not entries:
+        fs, folder = _hadoop(spark, f"{path}/{POSTINGS}")
+        if fs.exists(folder):  # postings staged, none landed
+            return spark.createDataFrame([], S.LEDGER_SCHEMA).withColumn("id", F.lit(None).cast("long"))
+        return spark.read.schema(S.LEDGER_SCHEMA).parquet(path)
+    names = [f"{e['posting']}.{e['attempt']}" for e in entries]
+    bases, schema = [], f"posting string, {_PART} int, _base long"
+    for e, name in zip(entries, names, strict=True):
+        before = e["first_id"]
+        for part, n in e["parts"]:
+            bases.append((name, part, before))
+            before += n
+    offsets = spark.createDataFrame(bases, schema)  # one row a task of each posting, from the manifest
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.LEDGER_SCHEMA)
+    rows = spark.read.schema(f"{fields}, {_PART} int, {_INSIDE} long, posting string").parquet(f"{path}/{POSTINGS}")
+    rows = rows.where(F.col("posting").isin(names)).join(F.broadcast(offsets), ["posting", _PART])
+    local = F.col(_INSIDE) - F.shiftleft(F.col(_PART).cast("long"), 33)
+    return rows.select(*[f.name for f in S.LEDGER_SCHEMA], (F.col("_base") + local).alias("id"))
 
 
 def _newest_first(rows: DataFrame) -> DataFrame:

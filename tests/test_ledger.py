@@ -138,3 +138,39 @@ def test_latest_edit_of_an_id_counts(spark):
     current = spark.createDataFrame([("a", True, False)], "row_id string, pagar boolean, excluir boolean")
     edits = spark.createDataFrame([("a", False, True, 1), ("a", True, True, 2), ("b", True, False, 5), ("b", False, False, 6)], "row_id string, pagar boolean, excluir boolean, n int")
     assert [tuple(r) for r in L.merge_selection(current, edits, "n").collect()] == [("a", True, True)]
+
+
+def _paid_rows(spark, n, offset=0):
+    return spark.createDataFrame([(f"CH{i + offset}", float(i)) for i in range(n)], "nro_chassi string, valor_comissao_total double").repartition(3)
+
+
+def test_a_posting_lands_once_and_whole(spark, tmp_path):
+    """Broken off before its manifest entry: nothing; after it: everything; run again: nothing more."""
+    path, period = str(tmp_path / "paid"), G.period_columns(**PERIOD)
+    prepared = G.prepare_ledger_rows(_paid_rows(spark, 7), period)
+    staged = G.stage_posting(prepared, path, "p1")  # the job stops here
+    assert staged["rows"] == 7 and G.read_ledger(spark, path).count() == 0
+    assert G.commit_posting(spark, path, staged) is True  # ... and is stopped right after landing
+    assert G.read_ledger(spark, path).count() == 7
+    assert G.append_paid_ledger(_paid_rows(spark, 7), path, period, posting_id="p1") == 0  # run again
+    assert G.commit_posting(spark, path, G.stage_posting(prepared, path, "p1")) is False  # a late twin
+    assert G.read_ledger(spark, path).count() == 7
+    # without an explicit id the rows name the posting: the same rows land once
+    assert G.append_paid_ledger(_paid_rows(spark, 5, 100), path, period) == 5
+    assert G.append_paid_ledger(_paid_rows(spark, 5, 100), path, period) == 0
+    assert G.append_paid_ledger(_paid_rows(spark, 0), path, period) == 0
+    assert [e["posting"] for e in G.manifest(spark, path)][0] == "p1" and len(G.manifest(spark, path)) == 2
+
+
+def test_row_ids_are_dense_in_landing_order(spark, tmp_path):
+    path, period = str(tmp_path / "paid"), G.period_columns(**PERIOD)
+    later = G.period_columns(**{**PERIOD, "month": 4, "label": "Maio/2026"})
+    assert G.append_paid_ledger(_paid_rows(spark, 40), path, period, posting_id="a") == 40
+    assert G.append_paid_ledger(_paid_rows(spark, 25, 500), path, later, posting_id="b") == 25
+    ledger = G.read_ledger(spark, path)
+    ids = sorted(r.id for r in ledger.select("id").collect())
+    assert ids == list(range(65))
+    first = {r.nro_chassi: r.id for r in ledger.where("competencia_mes = 3").collect()}
+    assert set(first.values()) == set(range(40))  # the first posting holds the first ids
+    newest = G.ledger_by_competence(ledger, 2026, 4).first()
+    assert newest.id == max(r.id for r in ledger.where("competencia_mes = 4").collect())
