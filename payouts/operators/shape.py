@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,12 +213,17 @@ def schema_status(table: DataFrame, expected: Sequence[str] | None = None) -> Da
 
 
 def period_rows(ledger: DataFrame, label: str) -> DataFrame:
-    """Ledger rows of a period label.
+    """Ledger rows of a period label, whatever competence they were filed under.
 
-    The label fixes the competence, so that a ledger kept by competence is read in one partition.
+    The competences that hold the label are found first from the label column alone (one row a competence), so the
+    rows themselves are read from those partitions only; a row filed under another competence than its label's is
+    kept.
     """
-    base, named = label_base(label), F.col("mes_ano_comissao")
+    named = F.col("mes_ano_comissao")
     rows = ledger.where(named == label if label else F.coalesce(named, F.lit("")) == "")
-    if base and {"competencia_ano", "competencia_mes"} <= set(ledger.columns):
-        rows = rows.where((F.col("competencia_ano") == base[0]) & (F.col("competencia_mes") == base[1]))
+    if {"competencia_ano", "competencia_mes"} <= set(ledger.columns):
+        held = rows.select("competencia_ano", "competencia_mes").distinct().collect()
+        places = [(F.col("competencia_ano") == y if y is not None else F.col("competencia_ano").isNull())
+                  & (F.col("competencia_mes") == m if m is not None else F.col("competencia_mes").isNull()) for y, m in held]
+        rows = rows.where(reduce(lambda a, b: a | b, places) if places else F.lit(False))
     return rows

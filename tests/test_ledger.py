@@ -174,3 +174,14 @@ def test_row_ids_are_dense_in_landing_order(spark, tmp_path):
     assert set(first.values()) == set(range(40))  # the first posting holds the first ids
     newest = G.ledger_by_competence(ledger, 2026, 4).first()
     assert newest.id == max(r.id for r in ledger.where("competencia_mes = 4").collect())
+
+
+def test_a_label_reads_rows_of_any_competence(spark, tmp_path):
+    path = str(tmp_path / "paid")
+    rows = spark.createDataFrame([("CH1", 10.0)], "nro_chassi string, valor_comissao_total double")
+    G.append_paid_ledger(rows, path, G.period_columns(**PERIOD))
+    G.append_paid_ledger(rows, path, G.period_columns(**{**PERIOD, "month": 5}))  # filed under another competence
+    G.append_paid_ledger(rows, path, G.period_columns(**{**PERIOD, "month": 6, "label": "Junho/2026"}))
+    ledger = G.read_ledger(spark, path)
+    assert sorted(r.competencia_mes for r in G.ledger_by_label(ledger, "Abril/2026").collect()) == [3, 5]
+    assert G.ledger_by_label(ledger, "Julho/2026").count() == 0
