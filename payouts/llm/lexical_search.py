@@ -42,18 +42,23 @@ def terms(text: str = "text"):
     return F.regexp_extract_all(ascii_lower(text_of(text)), F.lit(TERM), 0)
 
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def index(docs: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, groups) of the documents.
 
     postings: (key, doc_id, term, tf, m) with `key` a unique number of the document row; groups: (term, m, tf, n_docs,
     w, impact), the length strata of each term with their tf groups. N and L are two numbers gathered to the driver.
+    With a `vocabulary` (a frame with a `term` column), only postings of its terms are kept; N, L, m and the df of
+    those terms are still those of all documents and all terms.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), terms().alias("terms"))
     rows = rows.withColumn("n", F.size("terms").cast("long")).filter(F.col("n") > 0)
     totals = rows.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
     m = F.lit(25) + F.expr(f"(75 * n * {big_n}L) div {max(big_l, 1)}L")
-    postings = cut(rows.select("key", "doc_id", m.alias("m"), F.explode("terms").alias("term"))
+    words = rows.select("key", "doc_id", m.alias("m"), F.explode("terms").alias("term"))
+    if vocabulary is not None:  # Spark broadcasts a small vocabulary after measuring it, else joins by shuffle
+        words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    postings = cut(words
                    .groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_id").alias("doc_id"), F.first("m").alias("m")))
     weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * big_n + 2)) / (F.col("df") * 2 + 1))).cast("long").alias("w"))
@@ -64,13 +69,11 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """For each query (item_id, text), its `top` best documents with a positive score: (item_id, rank, doc_id, score)."""
-    postings, groups = index(docs)
     items = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("qtext")).dropDuplicates()
     items = cut(items).withColumn("ikey", F.monotonically_increasing_id())  # numbered on stored rows, so stable
     asked = cut(items.select("ikey", "item_id", F.explode(terms("qtext")).alias("term"))
                 .groupBy("ikey", "item_id", "term").agg(F.count(F.lit(1)).alias("k")))
-    wanted = asked.select("term").distinct()
-    opened = groups.join(wanted, "term", "left_semi")
+    postings, opened = index(docs, asked)
     # 1. the impact at which a term's groups, by falling impact, reach `top` documents; its largest impact
     falling = Window.partitionBy("term").orderBy(F.col("impact").desc(), "m", "tf").rowsBetween(Window.unboundedPreceding, 0)
     reach = opened.withColumn("cum", F.sum("n_docs").over(falling)).groupBy("term").agg(
@@ -87,8 +90,9 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     need = split.filter("essential").join(rest, "ikey").select("ikey", "term", "k", "n_essential", (F.col("theta") - F.col("others")).alias("need"))
     # 3. groups above the bound opened into documents, scored exactly over all terms of the query
     chosen = opened.join(need, "term").filter((F.col("impact") > 0) & (F.col("k") * F.col("impact") * F.col("n_essential") >= F.col("need")))
-    candidates = chosen.select("ikey", "term", "m", "tf").join(postings, ["term", "m", "tf"]).select("ikey", "key").distinct()
-    scored = (candidates.join(asked, "ikey").join(postings, ["key", "term"]).join(groups.select("term", "m", "tf", "impact"), ["term", "m", "tf"])
+    candidates = cut(chosen.select("ikey", "term", "m", "tf").join(postings, ["term", "m", "tf"]).select("ikey", "key").distinct())
+    theirs = postings.join(candidates.select("key").distinct(), "key", "left_semi")
+    scored = (candidates.join(asked, "ikey").join(theirs, ["key", "term"]).join(opened.select("term", "m", "tf", "impact"), ["term", "m", "tf"])
               .groupBy("ikey", "item_id", "key", "doc_id").agg(F.sum(F.col("k") * F.col("impact")).alias("score"))
               .filter(F.col("score") > 0))
     order = Window.partitionBy("ikey").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "key")
