@@ -261,6 +261,8 @@ FROM src GROUP BY ROLLUP (tipo)""",
  {total('valor')} AS valor_incentivo, {total('valor')} AS valor_com_titulo, CAST(0 AS DOUBLE) AS valor_sem_titulo
 FROM incentives WHERE upper(chassi) IN (SELECT upper(chassi) FROM src WHERE chassi <> '')""",
     "paid_summary": """SELECT ch AS nro_chassi, n AS qtd_lancamentos_pagos, pos AS valor_pago_positivo, neg AS valor_estornado_negativo,
+ bal AS saldo_comissao_paga_chassi, has_pos AS tem_pagamento_positivo, has_neg AS tem_estorno_negativo FROM paid_sum""",
+    "paid_summary_state": """SELECT ch AS nro_chassi, n AS qtd_lancamentos_pagos, pos AS valor_pago_positivo, neg AS valor_estornado_negativo,
  bal AS saldo_comissao_paga_chassi, has_pos AS tem_pagamento_positivo, has_neg AS tem_estorno_negativo FROM paid_sum""",
     "excluded_summary": """SELECT ch AS nro_chassi, n AS qtd_lancamentos_excluidos, '2024-05-01' AS ultima_exclusao FROM excluded_sum""",
     "receivable_summary": f"""SELECT upper(trim(titulo)) AS titulo, {total('saldo')} AS saldo_total, CAST(min(emissao) AS VARCHAR) AS data_emissao

@@ -7,20 +7,20 @@ from payouts.functions import money_sum, norm_key, paid_status, source_key
 from payouts.operators.joins import lookup_join, merge_by_key
 
 __all__ = [
-    "excluded_join", "excluded_summary", "open_candidates", "paid_history_filter",
-    "paid_history_join", "paid_summary",
+    "excluded_join", "excluded_state", "excluded_summary", "merge_excluded_state", "merge_paid_state",
+    "open_candidates", "paid_history_filter", "paid_history_join", "paid_state", "paid_summary",
 ]
 
 _EXCLUDED = "Excluído manualmente"
 
 
-def paid_summary(ledger: DataFrame) -> DataFrame:
-    """Paid history per chassis: entries, paid and reversed value, balance, sign flags."""
+def paid_summary(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Paid history per chassis (and the columns `by`): entries, paid and reversed value, balance, sign flags."""
     value = F.coalesce(F.col("valor_comissao_total"), F.lit(0))
     paid = F.when(value > 0, value).otherwise(F.lit(0))
     reversed_ = F.when(value < 0, value).otherwise(F.lit(0))
-    keyed = ledger.select(source_key(F.col("nro_chassi")).alias("nro_chassi"), "valor_comissao_total")
-    return keyed.where("nro_chassi is not null").groupBy("nro_chassi").agg(
+    keyed = ledger.select(*by, source_key(F.col("nro_chassi")).alias("nro_chassi"), "valor_comissao_total")
+    return keyed.where("nro_chassi is not null").groupBy(*by, "nro_chassi").agg(
         F.count(F.lit(1)).alias("qtd_lancamentos_pagos"),
         money_sum(paid).alias("valor_pago_positivo"),
         money_sum(reversed_).alias("valor_estornado_negativo"),
@@ -30,10 +30,40 @@ def paid_summary(ledger: DataFrame) -> DataFrame:
     )
 
 
-def excluded_summary(ledger: DataFrame) -> DataFrame:
+#: The key of stored summary state: one part a competence, so a new month rewrites its own part only.
+STATE_KEYS = ("competencia_ano", "competencia_mes")
+
+
+def paid_state(ledger: DataFrame) -> DataFrame:
+    """Paid history per competence and chassis, in parts that add up: paid_summary of a ledger equals
+    merge_paid_state of its state, and the state of a competence depends on that competence's rows alone."""
+    return paid_summary(ledger, STATE_KEYS)
+
+
+def merge_paid_state(state: DataFrame) -> DataFrame:
+    """paid_summary from stored state: counts and amounts add up, flags combine by or."""
+    return state.groupBy("nro_chassi").agg(
+        F.sum("qtd_lancamentos_pagos").alias("qtd_lancamentos_pagos"),
+        *[money_sum(F.col(c)).alias(c) for c in ("valor_pago_positivo", "valor_estornado_negativo", "saldo_comissao_paga_chassi")],
+        F.bool_or("tem_pagamento_positivo").alias("tem_pagamento_positivo"),
+        F.bool_or("tem_estorno_negativo").alias("tem_estorno_negativo"),
+    )
+
+
+def excluded_state(ledger: DataFrame) -> DataFrame:
+    """Manual exclusions per competence and chassis; merge_excluded_state gives excluded_summary."""
+    return excluded_summary(ledger, STATE_KEYS)
+
+
+def merge_excluded_state(state: DataFrame) -> DataFrame:
+    return state.groupBy("nro_chassi").agg(
+        F.sum("qtd_lancamentos_excluidos").alias("qtd_lancamentos_excluidos"), F.max("ultima_exclusao").alias("ultima_exclusao"))
+
+
+def excluded_summary(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Manual exclusions per chassis."""
-    keyed = ledger.select(source_key(F.col("nro_chassi")).alias("nro_chassi"), "paid_at")
-    return keyed.where("nro_chassi is not null").groupBy("nro_chassi").agg(
+    keyed = ledger.select(*by, source_key(F.col("nro_chassi")).alias("nro_chassi"), "paid_at")
+    return keyed.where("nro_chassi is not null").groupBy(*by, "nro_chassi").agg(
         F.count(F.lit(1)).alias("qtd_lancamentos_excluidos"), F.max("paid_at").alias("ultima_exclusao")
     )
 

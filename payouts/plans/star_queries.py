@@ -754,6 +754,23 @@ def paid_summary(x: Frames) -> DataFrame:
     return cents(x.paid(), "valor_pago_positivo", "valor_estornado_negativo", "saldo_comissao_paga_chassi")
 
 
+@query
+def paid_summary_state(x: Frames) -> DataFrame:
+    """paid_summary kept as stored state: the ledger is written by competence, the state of every competence but the
+    newest is stored, then the newest is refreshed alone (its step reads one ledger part), and the state is merged."""
+    spark, keys = x.spark, H.STATE_KEYS
+    ledger_path, state_path = shared_path(spark, "paid_ledger"), shared_path(spark, "paid_state")
+    x.star.paid_ledger().write.partitionBy(*keys).parquet(ledger_path)
+    ledger = spark.read.parquet(ledger_path)
+    months = ledger.select(*keys).distinct()
+    newest = months.orderBy(*[F.col(k).desc() for k in keys]).first()
+    older = ledger.where(~((F.col(keys[0]) == newest[0]) & (F.col(keys[1]) == newest[1])))
+    G.refresh_state(older, state_path, H.paid_state)
+    G.refresh_state(ledger, state_path, H.paid_state, [(newest[0], newest[1])])
+    merged = H.merge_paid_state(spark.read.parquet(state_path))
+    return cents(merged, "valor_pago_positivo", "valor_estornado_negativo", "saldo_comissao_paga_chassi")
+
+
 @query
 def excluded_summary(x: Frames) -> DataFrame:
     return x.excluded()

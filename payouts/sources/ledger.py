@@ -8,6 +8,7 @@ import hashlib
 import json
 import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ __all__ = [
     "posting_digest", "stage_posting",
     "create_rule_table", "evolve_table", "export_report", "ledger_by_competence",
     "ledger_by_label", "ledger_period_labels", "period_columns", "prepare_ledger_rows",
-    "read_ledger", "rules_in_force", "rules_with_state", "write_incentive_titles",
+    "read_ledger", "refresh_state", "rules_in_force", "rules_with_state", "write_incentive_titles",
 ]
 
 
@@ -259,6 +260,20 @@ def ledger_period_labels(ledger: DataFrame) -> DataFrame:
     return latest.orderBy(F.desc("_year"), F.desc("_month"), F.desc("mes_ano_comissao")).select("mes_ano_comissao")
 
 
+def refresh_state(ledger: DataFrame, path: str, summarize, competences: list[tuple[int, int]] | None = None) -> None:
+    """Recomputes stored summary state for the given competences (all if None) and replaces those parts only.
+
+    `summarize` maps ledger rows to state rows keyed by competence (`history.paid_state`); reading a ledger kept by
+    competence, only the named competences are read. Ledgers only grow, so a competence never loses its part.
+    """
+    rows = ledger
+    if competences is not None:
+        places = [(F.col("competencia_ano") == y) & (F.col("competencia_mes") == m) for y, m in competences]
+        rows = ledger.where(reduce(lambda a, b: a | b, places) if places else F.lit(False))
+    state = summarize(rows)
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("competencia_ano", "competencia_mes").parquet(path)
+
+
 def write_incentive_titles(titles: DataFrame, path: str) -> None:
     """Replace the incentive title table."""
     titles.write.mode("overwrite").parquet(path)
