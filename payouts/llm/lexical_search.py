@@ -9,7 +9,8 @@ document sums the impacts of its terms, a term as often as the query holds it.
 Method. The index groups documents by equal m (strata) and, inside a stratum, a term's postings by tf: the impact is
 computed once for each (term, m, tf), not for each posting. A search visits these groups by falling impact:
 1. for every query term, the impact at which its groups reach TOP documents bounds from below the TOP-th best score of
-   every query that holds the term (those TOP documents score at least that much); the best bound of a query is theta;
+   every query that holds the term (those TOP documents score at least that much); so does the TOP-th best exact
+   score of seed documents, those in the first groups of the query's SEED_TERMS rarest terms; the best is theta;
 2. a term's largest impact bounds what it can add; the query terms whose bounds sum below theta (taken from the
    smallest) cannot lift a document to theta alone, so a document worth ranking holds one of the other, essential
    terms E, with an impact times the term's count of at least (theta - what the others can add) / |E|;
@@ -35,6 +36,8 @@ from payouts.llm.common import ascii_lower, cut, text_of
 # Fixed values of the scoring contract.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
+#: Terms of a query, rarest first, whose top groups give the seed documents; only the tightness of a bound depends on it.
+SEED_TERMS = 5
 
 
 def terms(text: str = "text"):
@@ -45,21 +48,23 @@ def terms(text: str = "text"):
 def index(docs: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, groups) of the documents.
 
-    postings: (key, doc_id, term, tf, m) with `key` a unique number of the document row; groups: (term, m, tf, n_docs,
-    w, impact), the length strata of each term with their tf groups. N and L are two numbers gathered to the driver.
-    With a `vocabulary` (a frame with a `term` column), only postings of its terms are kept; N, L, m and the df of
-    those terms are still those of all documents and all terms.
+    postings: (key, doc_id, term, tf, n, m) with `key` a unique number of the document row; groups: (term, m, tf,
+    n_docs, w, impact), the length strata of each term with their tf groups. With a `vocabulary` (a frame with a `term`
+    column), only postings of its terms are kept; N, L, m and the df of those terms are still those of all documents
+    and all terms. One pass reads the texts: each document also posts its length under a null term, from which N and L
+    are summed (two numbers to the driver).
     """
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), terms().alias("terms"))
     rows = rows.withColumn("n", F.size("terms").cast("long")).filter(F.col("n") > 0)
-    totals = rows.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
+    words = rows.select("key", "doc_id", "n", F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    if vocabulary is not None:  # Spark broadcasts a small vocabulary after measuring it, else joins by shuffle
+        known = vocabulary.select("term").distinct().withColumn("_known", F.lit(True))
+        words = words.join(known, "term", "left").where(F.col("_known") | F.col("term").isNull()).drop("_known")
+    counted = cut(words.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    totals = counted.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
     m = F.lit(25) + F.expr(f"(75 * n * {big_n}L) div {max(big_l, 1)}L")
-    words = rows.select("key", "doc_id", m.alias("m"), F.explode("terms").alias("term"))
-    if vocabulary is not None:  # Spark broadcasts a small vocabulary after measuring it, else joins by shuffle
-        words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    postings = cut(words
-                   .groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_id").alias("doc_id"), F.first("m").alias("m")))
+    postings = counted.where(F.col("term").isNotNull()).withColumn("m", m)
     weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", F.floor(F.lit(1000.0) * F.log((F.lit(2.0 * big_n + 2)) / (F.col("df") * 2 + 1))).cast("long").alias("w"))
     groups = postings.groupBy("term", "m", "tf").agg(F.count(F.lit(1)).alias("n_docs")).join(weights, "term")
@@ -67,19 +72,35 @@ def index(docs: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFra
     return postings, groups
 
 
-def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, top: int = TOP, seed_terms: int = SEED_TERMS) -> DataFrame:
     """For each query (item_id, text), its `top` best documents with a positive score: (item_id, rank, doc_id, score)."""
     items = queries.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("qtext")).dropDuplicates()
     items = cut(items).withColumn("ikey", F.monotonically_increasing_id())  # numbered on stored rows, so stable
     asked = cut(items.select("ikey", "item_id", F.explode(terms("qtext")).alias("term"))
                 .groupBy("ikey", "item_id", "term").agg(F.count(F.lit(1)).alias("k")))
     postings, opened = index(docs, asked)
-    # 1. the impact at which a term's groups, by falling impact, reach `top` documents; its largest impact
+    impacts = opened.select("term", "m", "tf", "impact")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Scores of (ikey, key) pairs over all terms of the query; only those documents' postings are joined."""
+        theirs = postings.join(pairs.select("key").distinct(), "key", "left_semi")
+        return (pairs.join(asked, "ikey").join(theirs, ["key", "term"]).join(impacts, ["term", "m", "tf"])
+                .groupBy("ikey", "item_id", "key", "doc_id").agg(F.sum(F.col("k") * F.col("impact")).alias("score")))
+
+    # 1. by falling impact, each term's groups until `top` documents: the impact reached there bounds from below
     falling = Window.partitionBy("term").orderBy(F.col("impact").desc(), "m", "tf").rowsBetween(Window.unboundedPreceding, 0)
-    reach = opened.withColumn("cum", F.sum("n_docs").over(falling)).groupBy("term").agg(
+    visited = cut(opened.withColumn("cum", F.sum("n_docs").over(falling)))
+    reach = visited.groupBy("term").agg(
         F.coalesce(F.max(F.when(F.col("cum") >= top, F.col("impact"))), F.lit(0)).alias("floor_"), F.max("impact").alias("most"))
     bounded = asked.join(reach, "term").select("ikey", "item_id", "term", "k", (F.col("k") * F.col("floor_")).alias("low"), (F.col("k") * F.col("most")).alias("upper"))
-    theta = bounded.groupBy("ikey").agg(F.max("low").alias("theta"))
+    # ... and exact scores of seed documents (those top groups of the query's rarest terms) bound it from below too
+    rarest = bounded.withColumn("_r", F.row_number().over(Window.partitionBy("ikey").orderBy(F.col("upper").desc(), "term"))).where(F.col("_r") <= seed_terms)
+    firsts = visited.where(F.col("cum") - F.col("n_docs") < top).select("term", "m", "tf")
+    seeds = rarest.select("ikey", "term").join(firsts, "term").join(postings.select("term", "m", "tf", "key"), ["term", "m", "tf"]).select("ikey", "key").distinct()
+    tenth = Window.partitionBy("ikey").orderBy(F.col("score").desc())
+    seeded = exact(seeds).withColumn("_r", F.row_number().over(tenth)).where(F.col("_r") == top).select("ikey", F.col("score").alias("seeded"))
+    theta = (bounded.groupBy("ikey").agg(F.max("low").alias("theta")).join(seeded, "ikey", "left")
+             .select("ikey", F.greatest("theta", F.coalesce("seeded", F.lit(0))).alias("theta")))
     # 2. the terms that cannot lift a document to theta alone, from the smallest bound; the rest is essential
     smallest = Window.partitionBy("ikey").orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, 0)
     split = bounded.join(theta, "ikey").withColumn("below", F.sum("upper").over(smallest))
@@ -89,12 +110,9 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
         F.count(F.when(F.col("essential"), 1)).alias("n_essential"))
     need = split.filter("essential").join(rest, "ikey").select("ikey", "term", "k", "n_essential", (F.col("theta") - F.col("others")).alias("need"))
     # 3. groups above the bound opened into documents, scored exactly over all terms of the query
-    chosen = opened.join(need, "term").filter((F.col("impact") > 0) & (F.col("k") * F.col("impact") * F.col("n_essential") >= F.col("need")))
-    candidates = cut(chosen.select("ikey", "term", "m", "tf").join(postings, ["term", "m", "tf"]).select("ikey", "key").distinct())
-    theirs = postings.join(candidates.select("key").distinct(), "key", "left_semi")
-    scored = (candidates.join(asked, "ikey").join(theirs, ["key", "term"]).join(opened.select("term", "m", "tf", "impact"), ["term", "m", "tf"])
-              .groupBy("ikey", "item_id", "key", "doc_id").agg(F.sum(F.col("k") * F.col("impact")).alias("score"))
-              .filter(F.col("score") > 0))
+    chosen = impacts.join(need, "term").filter((F.col("impact") > 0) & (F.col("k") * F.col("impact") * F.col("n_essential") >= F.col("need")))
+    candidates = cut(chosen.select("ikey", "term", "m", "tf").join(postings.select("term", "m", "tf", "key"), ["term", "m", "tf"]).select("ikey", "key").distinct())
+    scored = exact(candidates).filter(F.col("score") > 0)
     order = Window.partitionBy("ikey").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "key")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("item_id", F.col("rank").cast("int"), "doc_id", F.col("score").cast("long"))
