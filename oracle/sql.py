@@ -356,6 +356,7 @@ FROM managed""",
 FROM (SELECT *, CASE WHEN perc_comissao_fat = 0 THEN CAST(1 AS DOUBLE) ELSE perc_comissao_fat END AS p FROM calc)""",
     "paid_history_filter": "SELECT * FROM confronted",
     "machine_settlement": "SELECT * EXCLUDE (cmv, veiculo_categoria, veiculo_estado) REPLACE (CAST(data_emissao AS VARCHAR) AS data_emissao) FROM settled",
+    "settlement_after_posting": "SELECT * EXCLUDE (cmv, veiculo_categoria, veiculo_estado) REPLACE (CAST(data_emissao AS VARCHAR) AS data_emissao) FROM settled",
     "payment_eligibility": "SELECT * FROM elig",
     "paid_sheet_audit": "SELECT * FROM issues",
     "audit_upload": f"""SELECT CASE WHEN length(arquivo) % 2 = 0 THEN replace(arquivo, '15-04-1996', '15-05-1996') ELSE arquivo END AS arquivo_origem,

@@ -3,12 +3,14 @@
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from payouts.functions import norm_key, source_key
 from payouts.operators.extract import MachineSources, machine_base
-from payouts.operators.history import paid_history_filter
+from payouts.operators.history import open_candidates, paid_history, paid_history_filter
 from payouts.operators.rules import commission_rules, default_fat_rate, manager_commission
 
-__all__ = ["machine_settlement", "settle_period"]
+__all__ = ["machine_settlement", "settle_period", "settlement_after_posting"]
 
 
 def machine_settlement(
@@ -44,3 +46,33 @@ def settle_period(
     """Extraction and settlement as one plan per output."""
     base = machine_base(sources, start, end)
     return machine_settlement(base, fat_rates, margin_rates, paid, managers, excluded, default_rate)
+
+
+def settlement_after_posting(
+    full: DataFrame,
+    calculated: DataFrame,
+    posted: DataFrame,
+    paid: DataFrame | None,
+    excluded: DataFrame | None = None,
+    default_rate: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(open candidates, full history) after a posting, from the full history before it.
+
+    Only the history of chassis that the posted ledger rows name can change. Their rows of `calculated` are joined
+    again with the summaries after the posting (`paid` and `excluded`, or merged stored state), which are cut to those
+    chassis before any join; every other row of `full` stays as it was. Equals machine_settlement over the whole
+    ledger. Rows without a chassis never meet a summary, so they keep their history too.
+    """
+    key = lambda c: F.nullif(norm_key(c), F.lit(""))  # noqa: E731  the lookup key of history.py
+    touched = posted.select(key(source_key(F.col("nro_chassi"))).alias("_chassis")).where("_chassis IS NOT NULL").distinct()
+
+    def only(frame: DataFrame | None, how: str = "left_semi") -> DataFrame | None:
+        if frame is None:
+            return None
+        keyed = frame.withColumn("_chassis", key(F.col("nro_chassi")))
+        return keyed.join(touched, "_chassis", how).drop("_chassis")
+
+    redone = paid_history(only(calculated), only(paid), only(excluded))
+    history = only(full, "left_anti").unionByName(redone.select(*full.columns))
+    candidates = open_candidates(history)
+    return (default_fat_rate(candidates) if default_rate else candidates), history

@@ -25,7 +25,7 @@ from payouts.operators import shape as P
 from payouts.operators.joins import first_per_key
 from payouts.plans.posting import approved_sheet_rows, audit_upload, file_periods, payment_rows, post_exclusions, post_payments
 from payouts.plans.report_pack import report_pack
-from payouts.plans.settlement import machine_settlement
+from payouts.plans.settlement import machine_settlement, settlement_after_posting
 from payouts.sources import ledger as G
 from payouts.sources import sheets as H5
 from payouts.sources.stage import shared_path, stage
@@ -999,6 +999,20 @@ def machine_settlement_query(x: Frames) -> DataFrame:
     return x.settlement()[0].drop("cmv", "veiculo_categoria", "veiculo_estado")
 
 
+@query
+def settlement_after_posting_query(x: Frames) -> DataFrame:
+    """machine_settlement kept up to date: the history before the newest competence's postings is stored, then only
+    the chassis that those postings name are settled again and merged with the rest."""
+    keys = H.STATE_KEYS
+    ledger = x.star.paid_ledger()
+    newest = ledger.select(*keys).distinct().orderBy(*[F.col(k).desc() for k in keys]).first()
+    is_new = (F.col(keys[0]) == newest[0]) & (F.col(keys[1]) == newest[1])
+    calculated = stage(U.manager_commission(U.commission_rules(stage(x.base(), "machine_base"), x.fat(), x.margin()), x.managers()), "calculated")
+    before = stage(H.paid_history(calculated, H.paid_summary(ledger.where(~is_new)), x.excluded()), "history_before")
+    rows, _ = settlement_after_posting(before, calculated, ledger.where(is_new), x.paid(), x.excluded(), default_rate=True)
+    return rows.drop("cmv", "veiculo_categoria", "veiculo_estado")
+
+
 @query
 def payment_eligibility(x: Frames) -> DataFrame:
     return x.eligibility()

@@ -41,3 +41,23 @@ def test_a_refresh_reads_its_competence_alone(spark, tmp_path):
     excluded = spark.createDataFrame([("x", date(2026, 1, 5)), ("x", date(2026, 2, 9))], "nro_chassi string, paid_at date").selectExpr(
         "nro_chassi", "CAST(paid_at AS timestamp) AS paid_at", "2026 AS competencia_ano", "month(paid_at) AS competencia_mes")
     assert _sorted(H.merge_excluded_state(H.excluded_state(excluded))) == _sorted(H.excluded_summary(excluded))
+
+
+def test_settlement_after_random_postings_equals_the_full_one(spark, tmp_path):
+    from payouts.operators.history import excluded_summary, paid_history, paid_summary
+    from payouts.plans.settlement import settlement_after_posting
+
+    calculated = spark.createDataFrame([(i, f" ch{i % 9}", float(i)) for i in range(40)] + [(99, None, 1.0)], "row_id long, nro_chassi string, valor double")
+    path, pick = str(tmp_path / "paid"), random.Random(11)
+    excluded = spark.createDataFrame([("CH3", date(2024, 5, 1))], "nro_chassi string, paid_at date").selectExpr("nro_chassi", "CAST(paid_at AS timestamp) AS paid_at")
+    full = paid_history(calculated, None, excluded_summary(excluded))
+    for n in range(5):
+        rows = [(f"ch{pick.randint(0, 11)}", pick.choice([10.0, -10.0, 3.5])) for _ in range(pick.randint(1, 4))]
+        posted = spark.createDataFrame(rows, "nro_chassi string, valor_comissao_total double")
+        G.append_paid_ledger(posted, path, G.period_columns(2026, 1 + n % 3, "x"), posting_id=f"s{n}")
+        paid = paid_summary(G.read_ledger(spark, path))
+        open_rows, full = settlement_after_posting(full, calculated, posted, paid, excluded_summary(excluded))
+        full = spark.createDataFrame(full.collect(), full.schema)  # as a stored table would be
+        whole = paid_history(calculated, paid, excluded_summary(excluded))
+        assert _sorted(full) == _sorted(whole)
+        assert _sorted(open_rows) == _sorted(whole.where("NOT bloqueado_pagamento AND NOT bloqueado_exclusao"))
