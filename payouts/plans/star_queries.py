@@ -158,17 +158,18 @@ def ledger_period_labels(x: Frames) -> DataFrame:
     return G.ledger_period_labels(x.star.paid_ledger())
 
 
-def _sheet_files(x: Frames) -> str:
+def _workbook_files(x: Frames) -> str:
+    """The sheets as users keep them: one workbook per branch, sheet "Analitico CEN", header in row 24."""
     sheets, _ = x.audit()
-    path = shared_path(x.spark, "uploads")
+    path = shared_path(x.spark, "workbooks")
     labelled = P.display_labels(sheets.drop("arquivo", "linha", "colunas"))
-    G.export_report(labelled, path)
+    G.export_report(labelled, path, "xlsx", partition_by=S.LABELS["filial"], sheet=H5.REPORT_SHEET, header_row=H5.REPORT_HEADER_ROW)
     return path
 
 
 @query
 def ingest_report_sheets(x: Frames) -> DataFrame:
-    rows, _ = H5.ingest_report_sheets(x.spark, _sheet_files(x), header_row=0)
+    rows, _ = H5.ingest_report_sheets(x.spark, _workbook_files(x))
     return rows.select("filial", "modelo", "nro_chassi", "nro_documento",
                        fn.parse_br_number(F.col("receita_bruta")).alias("receita_bruta"),
                        F.col("valor_comissao_total").cast("double").alias("valor_comissao_total"))

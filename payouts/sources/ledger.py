@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from payouts import schemas as S
 from payouts.functions import parse_br_number, parse_date_br, parse_margin_points, parse_percent_points
 from payouts.operators.shape import is_text, period_rows, quoted
+from payouts.sources.workbooks import write_workbooks
 
 __all__ = [
     "append_excluded_ledger", "append_paid_ledger", "append_rules", "commit_posting", "create_ledger_table", "manifest", "post",
@@ -354,12 +355,18 @@ def evolve_table(spark: SparkSession, name: str, columns: dict[str, str]) -> lis
     return list(added)
 
 
-def export_report(report: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None) -> None:
-    """Write a report flat, timestamps without zone; many files, one folder per branch on request."""
+def export_report(report: DataFrame, path: str, fmt: str = "csv", partition_by: str | None = None, sheet: str = "Planilha1", header_row: int = 0) -> None:
+    """Write a report flat, timestamps without zone; many files, one folder per branch on request. ``fmt="xlsx"``
+    writes one workbook per value of ``partition_by`` (`workbooks.write_workbooks`), landing when the job commits."""
     flat = report
     for field in report.schema:
         if isinstance(field.dataType, T.TimestampType):
             flat = flat.withColumn(field.name, F.col(field.name).cast("timestamp_ntz"))
+    if fmt == "xlsx":
+        if partition_by is None:
+            raise ValueError("workbooks are written one per value of partition_by")
+        write_workbooks(flat, path, partition_by, sheet, header_row)
+        return
     writer = flat.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
