@@ -133,3 +133,15 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (3, 9)], "a long, b long")
     assert {r["node"]: r["comp"] for r in jaccard_join.components(edges).collect()} == {**{i: 100 for i in range(100, 161)}, 3: 3, 9: 3}
     assert jaccard_join.components(edges.limit(0)).count() == 0
+
+
+def test_one_of_each_drops_near_copies_that_share_or_lack_an_identifier(spark):
+    """{1: A, 5: A+1 word, 5: B, null: A+1 word, null: C}: A's near copies go whatever their identifier."""
+    a = " ".join(f"word{i}" for i in range(40))
+    b = " ".join(f"other{i}" for i in range(40))
+    c = " ".join(f"third{i}" for i in range(40))
+    rows = [(1, a), (5, a + " extra"), (5, b), (None, a + " extra"), (None, c), (7, b + " more"), (7, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS _kept_id", "2 AS _text_key")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    assert kept == [(1, a), (5, b), (None, c)]
+    assert set(jaccard_join.one_of_each(docs).columns) == set(docs.columns)

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_operator_has_its_query():
     numbers = [int(m[1]) for n in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", n))]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_pipeline_against_brute_force(spark, sample):
