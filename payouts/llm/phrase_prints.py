@@ -106,8 +106,8 @@ def edited_pair(text: str, head: str) -> tuple[str, str, str]:
 
 def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = {"rid": [], "doc_id": [], "n_chars": [], "edited_sha256": [], "fingerprint": [], "edited_fingerprint": [], "near_edited": []}
-        for rid, doc_id, text, head in zip(batch["rid"], batch["doc_id"], batch["text"], batch["head"], strict=True):
+        out = {"rid": [], "doc_id": [], "n_chars": [], "edited_sha256": [], "fingerprint": [], "edited_fingerprint": [], "near_edited": [], "next_doc_id": []}
+        for rid, doc_id, text, head, after in zip(batch["rid"], batch["doc_id"], batch["text"], batch["head"], batch["next_doc_id"], strict=True):
             text, head = text or "", head or ""
             edited, own, changed = edited_pair(text, head)
             out["rid"].append(rid)
@@ -117,7 +117,8 @@ def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out["fingerprint"].append(own)
             out["edited_fingerprint"].append(changed)
             out["near_edited"].append(likeness(own, changed))
-        yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+            out["next_doc_id"].append(None if pd.isna(after) else int(after))
+        yield pd.DataFrame(out).astype({"doc_id": "Int64", "next_doc_id": "Int64"})
 
 
 def same_share(a: Column, b: Column) -> Column:
@@ -127,7 +128,8 @@ def same_share(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per document row."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id) per
+    document row; next_doc_id is the document that followed it."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = base.select("rid", "doc_id", F.char_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"))
     ranked = cut(ranking.positions(order, [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("n"), F.col("rid")], "rank"))
@@ -135,12 +137,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     follower = ranked.select(((F.col("rank") - 1 + F.lit(total)) % F.lit(max(total, 1))).alias("rank"), F.col("rid").alias("next_rid"))
     pairs = cut(ranked.select("rid", "rank", "n").join(follower, "rank"))
     wants = pairs.select(F.col("next_rid").alias("rid"), F.col("rid").alias("pred_rid"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    joined = base.join(wants, "rid")
-    heads = joined.select(F.col("pred_rid").alias("rid"), F.expr("substring(text, 1, k)").alias("head"))
+    # Both branches read the same columns of the joined texts, so Spark exchanges the texts once and reuses it.
+    joined = base.join(wants, "rid").select("rid", "doc_id", "text", "pred_rid", "k")
+    heads = joined.select(F.col("pred_rid").alias("rid"), F.expr("substring(text, 1, k)").alias("head"), F.col("doc_id").alias("next_doc_id"))
     rows = joined.select("rid", "doc_id", "text").join(heads, "rid")
-    schema = "rid long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
+    schema = "rid long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, next_doc_id long"
     printed = cut(rows.mapInPandas(_printed, schema))
     nexts = printed.select(F.col("rid").alias("next_rid"), F.col("fingerprint").alias("next_fingerprint"))
     out = printed.join(pairs.select("rid", "next_rid"), "rid").join(nexts, "next_rid")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                      same_share(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+                      same_share(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id")
