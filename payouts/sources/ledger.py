@@ -294,40 +294,135 @@ def _log_ddl(kind: str) -> str:
     return ", ".join(f"{n} {t}" for n, t in _log_columns(kind).items())
 
 
-def _read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(_log_ddl(kind)).parquet(path)
+class BatchTaken(ValueError):
+    """A rule batch whose number another write has taken, or that is not above the last one."""
+
+
+# A rule folder holds `batches/batch_id=<n>/attempt=<a>/part-*`, `_batches/<n>.json` (the batches that landed, each
+# naming its attempt) and `_snapshots/<n>.json` with `snapshots/upto=<n>/`. A batch lands when its entry is created
+# with create-if-absent, so of two writers of one number one is refused; rows of other attempts are never read.
+RULE_BATCHES, RULE_MARKS, RULE_SNAPSHOTS, RULE_SNAPSHOT_MARKS = "batches", "_batches", "snapshots", "_snapshots"
+
+
+def _entries(spark: SparkSession, folder: str) -> list[dict]:
+    fs, place = _hadoop(spark, folder)
+    if not fs.exists(place):
+        return []
+    out = []
+    for status in fs.listStatus(place):
+        if status.getPath().getName().endswith(".json"):
+            stream = fs.open(status.getPath())
+            try:
+                out.append(json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return sorted(out, key=lambda e: e["batch_id"])
+
+
+def _claim(spark: SparkSession, folder: str, number: int, entry: dict) -> bool:
+    """Creates `<folder>/<number>.json` unless it exists."""
+    fs, _ = _hadoop(spark, folder)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}.json")
+    try:
+        stream = fs.create(target, False)
+    except Exception as taken:
+        if "FileAlreadyExists" in str(taken) or "already exists" in str(taken):
+            return False
+        raise
+    try:
+        stream.write(bytearray(json.dumps(entry).encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def rule_batches(spark: SparkSession, path: str) -> list[dict]:
+    """The batches of a rule folder that landed, in order: batch_id, op, attempt, rows."""
+    return _entries(spark, f"{path}/{RULE_MARKS}")
+
+
+def _read_log(spark: SparkSession, path: str, kind: str, after: int | None = None) -> DataFrame:
+    """The log rows of the landed batches (after batch `after` only, if given); a folder of plain parquet (written
+    before batches landed this way) is read as it is."""
+    landed = rule_batches(spark, path)
+    if not landed:
+        fs, place = _hadoop(spark, f"{path}/{RULE_BATCHES}")
+        if fs.exists(place):
+            return spark.createDataFrame([], _log_ddl(kind))
+        log = spark.read.schema(_log_ddl(kind)).parquet(path)
+        return log if after is None else log.where(F.col("batch_id") > after)
+    wanted = [e for e in landed if after is None or e["batch_id"] > after]
+    if not wanted:
+        return spark.createDataFrame([], _log_ddl(kind))
+    columns = {n: t for n, t in _log_columns(kind).items() if n != "batch_id"}
+    ddl = ", ".join(f"{n} {t}" for n, t in columns.items()) + ", batch_id bigint, attempt string"
+    rows = spark.read.schema(ddl).parquet(f"{path}/{RULE_BATCHES}")
+    keep = reduce(lambda x, y: x | y, [(F.col("batch_id") == e["batch_id"]) & (F.col("attempt") == e["attempt"]) for e in wanted])
+    return rows.where(keep).select(*_log_columns(kind))
 
 
 def append_rules(prepared: DataFrame, path: str, kind: str, op: str, batch_id: int) -> int:
-    """Add a batch of prepared rules; ``op`` is append, replace (old rows turn inactive) or
-    reset (old rows vanish). ``batch_id`` must grow with every write."""
+    """Add a batch of prepared rules; ``op`` is append, replace (old rows turn inactive) or reset (old rows vanish).
+
+    ``batch_id`` must be above every batch that landed; the batch lands when its entry is created, and a number that
+    another writer took first, or one not above the last, raises BatchTaken. Rows are written aside before that."""
     if op not in ("append", "replace", "reset"):
         raise ValueError(op)
-    seen = Observation("rule_append")
-    filled = prepared.withColumns(
-        {"op": F.lit(op), "batch_id": F.lit(batch_id), "updated_at": F.current_timestamp()}
-    )
+    spark = prepared.sparkSession
+    landed = rule_batches(spark, path)
+    if landed and batch_id <= landed[-1]["batch_id"]:
+        raise BatchTaken(f"batch {batch_id} is not above the last batch {landed[-1]['batch_id']}")
+    seen = Observation(f"rule_append_{uuid.uuid4().hex[:8]}")
+    filled = prepared.withColumns({"op": F.lit(op), "batch_id": F.lit(batch_id), "updated_at": F.current_timestamp()})
     if "row_seq" not in filled.columns:
         filled = filled.withColumn("row_seq", F.lit(None).cast("bigint"))
     rows = filled.select(*[F.col(n).cast(t).alias(n) for n, t in _log_columns(kind).items()])
-    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
-    return int(seen.get["rows"])
+    attempt = uuid.uuid4().hex[:12]
+    rows.drop("batch_id").observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{RULE_BATCHES}/batch_id={batch_id}/attempt={attempt}")
+    written = int(seen.get["rows"])
+    if not _claim(spark, f"{path}/{RULE_MARKS}", batch_id, {"batch_id": batch_id, "op": op, "attempt": attempt, "rows": written}):
+        raise BatchTaken(f"batch {batch_id} was taken by another write")
+    return written
 
 
-def rules_with_state(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Every rule row that still exists, with ``ativo`` as it stands after all batches."""
-    log = _read_log(spark, path, kind)
+def _state(log: DataFrame) -> DataFrame:
+    """Rows that still exist after the batches of `log`, with `ativo` as it stands after them."""
     marks = log.agg(
         F.max(F.when(F.col("op") == "reset", F.col("batch_id"))).alias("_reset"),
         F.max(F.when(F.col("op") != "append", F.col("batch_id"))).alias("_replaced"),
         F.lit(True).alias("_one"),
     )
-    joined = log.withColumn("_one", F.lit(True)).join(F.broadcast(marks), "_one").drop("_one")
+    joined = log.withColumn("_one", F.lit(True)).join(F.broadcast(marks), "_one").drop("_one")  # one row
     kept = joined.where(F.col("batch_id") >= F.coalesce("_reset", F.col("batch_id")))
     in_force = F.col("batch_id") >= F.coalesce("_replaced", F.col("batch_id"))
     return kept.withColumn("ativo", F.col("ativo") & in_force).drop("_reset", "_replaced")
 
 
+def snapshot_rules(spark: SparkSession, path: str, kind: str) -> int | None:
+    """Stores the state after the last landed batch; later reads take it and the batches after it only."""
+    landed = rule_batches(spark, path)
+    if not landed:
+        return None
+    upto = landed[-1]["batch_id"]
+    if any(e["batch_id"] == upto for e in _entries(spark, f"{path}/{RULE_SNAPSHOT_MARKS}")):
+        return upto
+    attempt = uuid.uuid4().hex[:12]
+    rules_with_state(spark, path, kind).write.parquet(f"{path}/{RULE_SNAPSHOTS}/upto={upto}/attempt={attempt}")
+    _claim(spark, f"{path}/{RULE_SNAPSHOT_MARKS}", upto, {"batch_id": upto, "attempt": attempt})
+    return upto
+
+
+def rules_with_state(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Every rule row that still exists, with ``ativo`` as it stands after all batches: the newest snapshot and the
+    batches after it, which the read prunes to."""
+    shots = _entries(spark, f"{path}/{RULE_SNAPSHOT_MARKS}")
+    if not shots:
+        return _state(_read_log(spark, path, kind))
+    shot = shots[-1]
+    stored = spark.read.schema(_log_ddl(kind)).parquet(f"{path}/{RULE_SNAPSHOTS}/upto={shot['batch_id']}/attempt={shot['attempt']}")
+    return _state(stored.unionByName(_read_log(spark, path, kind, after=shot["batch_id"])))
+
+
 def rules_in_force(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rules_with_state(spark, path, kind).where("ativo")
 

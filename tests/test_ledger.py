@@ -185,3 +185,38 @@ def test_a_label_reads_rows_of_any_competence(spark, tmp_path):
     ledger = G.read_ledger(spark, path)
     assert sorted(r.competencia_mes for r in G.ledger_by_label(ledger, "Abril/2026").collect()) == [3, 5]
     assert G.ledger_by_label(ledger, "Julho/2026").count() == 0
+
+
+def _fat(spark, rates):
+    upload = spark.createDataFrame([(f"M{i}", f"{r},0%") for i, r in enumerate(rates)], "Modelo string, `% Comissão Fat.` string")
+    return P.prepare_fat_rates(upload)
+
+
+def test_a_rule_batch_number_lands_once(spark, tmp_path):
+    path = str(tmp_path / "rates")
+    assert G.append_rules(_fat(spark, [1, 2]), path, "fat", "append", 1) == 2
+    with pytest.raises(G.BatchTaken):
+        G.append_rules(_fat(spark, [9]), path, "fat", "append", 1)  # a second writer of batch 1
+    with pytest.raises(G.BatchTaken):
+        G.append_rules(_fat(spark, [9]), path, "fat", "append", 0)
+    staged = str(tmp_path / "rates")
+    assert G._claim(spark, f"{staged}/{G.RULE_MARKS}", 1, {"batch_id": 1}) is False  # two writers at once: one entry
+    assert sorted(float(r.percentual) for r in G.rules_in_force(spark, path, "fat").collect()) == [1, 2]
+
+
+def test_a_snapshot_and_later_batches_give_the_whole_state(spark, tmp_path):
+    path = str(tmp_path / "rates")
+    G.append_rules(_fat(spark, [1, 2]), path, "fat", "append", 1)
+    G.append_rules(_fat(spark, [3]), path, "fat", "replace", 2)
+    whole = sorted(tuple(r) for r in G.rules_with_state(spark, path, "fat").drop("updated_at").collect())
+    assert G.snapshot_rules(spark, path, "fat") == 2
+    assert sorted(tuple(r) for r in G.rules_with_state(spark, path, "fat").drop("updated_at").collect()) == whole
+    G.append_rules(_fat(spark, [4]), path, "fat", "append", 3)
+    G.append_rules(_fat(spark, [5, 6]), path, "fat", "replace", 4)
+    state = G.rules_with_state(spark, path, "fat")
+    assert sorted(float(r.percentual) for r in state.where("ativo").collect()) == [5, 6] and state.count() == 6
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    filters = [seg.split("]")[0] for seg in plan.split("PartitionFilters: ")[1:]]
+    assert any("batch_id" in f and "= 3)" in f and "= 4)" in f and "= 2)" not in f for f in filters)  # later batches only
+    G.append_rules(_fat(spark, [7]), path, "fat", "reset", 5)
+    assert [float(r.percentual) for r in G.rules_with_state(spark, path, "fat").collect()] == [7]
