@@ -12,7 +12,8 @@ Edited texts. For the query, each document's last floor(n/4) code points are rep
 document in ascending doc_id (all of it if shorter; the last document is followed by the first). Documents are ordered
 by `ranking.positions` (range partitioning, no single task); each document sends only the head its predecessor needs,
 so beyond one exchange of the texts only a quarter of them moves. The parse of the common beginning is done once and
-continued twice, for the text and for the edited text.
+continued twice, for the text and for the edited text. Minimum hashes travel as 256-byte digests: one pass gives each
+document's own row and a row that takes its digest to its predecessor, and one grouping by row joins them.
 
 Edges. A null text is empty; a null doc_id sorts after all others, and repeated doc_ids are ordered by a hash of their
 text, then by row. A single document is followed by itself. Very long texts are parsed whole, one row at a time in
@@ -73,13 +74,17 @@ class Parse:
         other.trie, other.hashes, other.node, other.node_hash = dict(self.trie), list(self.hashes), self.node, self.node_hash
         return other
 
-    def fingerprint(self) -> str:
+    def digest(self) -> bytes:
+        """The K least values, 4 bytes each, most significant first."""
         if not self.hashes:
-            return EMPTY
+            return b"\xff" * (4 * K)
         values = np.fromiter(self.hashes, dtype=np.uint64, count=len(self.hashes))
         with np.errstate(over="ignore"):
             mixed = (values[:, None] * _A[None, :] + _B[None, :]) >> np.uint64(32)
-        return "".join(f"{v:08x}" for v in mixed.min(axis=0).tolist())
+        return mixed.min(axis=0).astype(">u4").tobytes()
+
+    def fingerprint(self) -> str:
+        return self.digest().hex()
 
 
 def fingerprint(text: str | None) -> str:
@@ -92,8 +97,8 @@ def likeness(a: str, b: str) -> float:
     return sum(a[i:i + 8] == b[i:i + 8] for i in range(0, 8 * K, 8)) / K
 
 
-def edited_pair(text: str, head: str) -> tuple[str, str, str]:
-    """(edited text, fingerprint of text, fingerprint of edited text): the last floor(n/4) code points give way to head."""
+def edited_pair(text: str, head: str) -> tuple[str, bytes, bytes]:
+    """(edited text, digest of text, digest of edited text): the last floor(n/4) code points give way to head."""
     n = len(text)
     keep = n - n // 4
     edited = text[:keep] + head
@@ -101,30 +106,27 @@ def edited_pair(text: str, head: str) -> tuple[str, str, str]:
     space = last.start() if last else 0
     common = Parse().feed(TOKEN.findall(text[:space]))
     other = common.copy()
-    return edited, common.feed(TOKEN.findall(text[space:])).fingerprint(), other.feed(TOKEN.findall(edited[space:])).fingerprint()
+    return edited, common.feed(TOKEN.findall(text[space:])).digest(), other.feed(TOKEN.findall(edited[space:])).digest()
 
 
 def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per document, its own row (kind 0) and a row that takes its digest to its predecessor (kind 1)."""
     for batch in batches:
-        out = {"rid": [], "doc_id": [], "n_chars": [], "edited_sha256": [], "fingerprint": [], "edited_fingerprint": [], "near_edited": [], "next_doc_id": []}
-        for rid, doc_id, text, head, after in zip(batch["rid"], batch["doc_id"], batch["text"], batch["head"], batch["next_doc_id"], strict=True):
+        out: list[tuple] = []
+        for rid, doc_id, text, head, after, pred in zip(batch["rid"], batch["doc_id"], batch["text"], batch["head"], batch["next_doc_id"], batch["pred_rid"], strict=True):
             text, head = text or "", head or ""
             edited, own, changed = edited_pair(text, head)
-            out["rid"].append(rid)
-            out["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
-            out["n_chars"].append(len(text))
-            out["edited_sha256"].append(hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest())
-            out["fingerprint"].append(own)
-            out["edited_fingerprint"].append(changed)
-            out["near_edited"].append(likeness(own, changed))
-            out["next_doc_id"].append(None if pd.isna(after) else int(after))
-        yield pd.DataFrame(out).astype({"doc_id": "Int64", "next_doc_id": "Int64"})
+            out.append((rid, 0, None if pd.isna(doc_id) else int(doc_id), len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+                        own, changed, None if pd.isna(after) else int(after)))
+            out.append((pred, 1, None, None, None, own, None, None))
+        frame = pd.DataFrame(out, columns=["rid", "kind", "doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "next_doc_id"])
+        yield frame.astype({"doc_id": "Int64", "n_chars": "Int64", "next_doc_id": "Int64", "kind": "int8"})
 
 
 def same_share(a: Column, b: Column) -> Column:
-    """likeness() as a column expression."""
+    """likeness() of two digests (binary, 4 bytes a place) as a column expression."""
     places = F.sequence(F.lit(0), F.lit(K - 1))
-    return F.size(F.filter(places, lambda i: F.substring(a, i * 8 + 1, 8) == F.substring(b, i * 8 + 1, 8))) / F.lit(float(K))
+    return F.size(F.filter(places, lambda i: F.substring(a, i * 4 + 1, 4) == F.substring(b, i * 4 + 1, 4))) / F.lit(float(K))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -140,10 +142,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # Both branches read the same columns of the joined texts, so Spark exchanges the texts once and reuses it.
     joined = base.join(wants, "rid").select("rid", "doc_id", "text", "pred_rid", "k")
     heads = joined.select(F.col("pred_rid").alias("rid"), F.expr("substring(text, 1, k)").alias("head"), F.col("doc_id").alias("next_doc_id"))
-    rows = joined.select("rid", "doc_id", "text").join(heads, "rid")
-    schema = "rid long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, next_doc_id long"
-    printed = cut(rows.mapInPandas(_printed, schema))
-    nexts = printed.select(F.col("rid").alias("next_rid"), F.col("fingerprint").alias("next_fingerprint"))
-    out = printed.join(pairs.select("rid", "next_rid"), "rid").join(nexts, "next_rid")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-                      same_share(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_doc_id")
+    rows = joined.select("rid", "doc_id", "text", "pred_rid").join(heads, "rid")
+    schema = "rid long, kind byte, doc_id long, n_chars long, edited_sha256 string, digest binary, edited_digest binary, next_doc_id long"
+    printed = rows.mapInPandas(_printed, schema)
+    own = F.col("kind") == 0
+    pick = lambda c: F.first(F.when(own, F.col(c)), ignorenulls=True).alias(c)
+    met = printed.groupBy("rid").agg(*[pick(c) for c in ("doc_id", "n_chars", "edited_sha256", "digest", "edited_digest", "next_doc_id")],
+                                     F.first(F.when(~own, F.col("digest")), ignorenulls=True).alias("next_digest"))
+    return met.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("digest")).alias("fingerprint"), F.lower(F.hex("edited_digest")).alias("edited_fingerprint"),
+                      same_share(F.col("digest"), F.col("edited_digest")).alias("near_edited"), same_share(F.col("digest"), F.col("next_digest")).alias("near_next"),
+                      "next_doc_id")
