@@ -1,5 +1,6 @@
 """Keys and text."""
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -21,21 +22,26 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+@functools.cache
 def _letter_map() -> tuple[str, str]:
-    """Accented letters that decompose to one plain letter, then the bare combining marks."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != chr(code):
-            source.append(chr(code))
+    """Every character whose compatibility decomposition, without combining marks, is one other character (accented
+    and full-width letters, styled digits, ...), then every combining mark, which translate deletes. Decompositions
+    into several characters (ligatures, fractions) are left as they are."""
+    source, target, marks = [], [], []
+    for code in range(0xA0, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        base = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0] != char:
+            source.append(char)
             target.append(base[0])
-    marks = [chr(code) for code in range(0x300, 0x370)]
     return "".join(source + marks), "".join(target)
 
 
-_ACCENTED, _PLAIN = _letter_map()
-
-
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
     return F.btrim(c.cast("string"), F.lit(WHITESPACE))
@@ -56,9 +62,10 @@ def blank_to_null(c: Column) -> Column:
 
 
 def fold_text(c: Column) -> Column:
-    """Accent-free upper-case text, through one JVM translate over Latin letters."""
+    """Accent-free upper-case text, through one JVM translate built from Unicode's decompositions."""
     stripped = strip(F.coalesce(c.cast("string"), F.lit("")))
-    return F.upper(F.translate(stripped, _ACCENTED, _PLAIN))
+    accented, plain = _letter_map()
+    return F.upper(F.translate(stripped, accented, plain))
 
 
 @F.pandas_udf(T.StringType())

@@ -134,3 +134,7 @@ def test_label_base():
     from payouts.functions import label_base
 
     assert (label_base("Abril/1996"), label_base("Janeiro/1997"), label_base("x"), label_base("Abril/")) == ((1996, 3), (1996, 12), None, None)
+
+
+def test_fold_text_follows_unicode_decompositions(value):
+    assert value(fn.fold_text(F.lit("Ｆｉｌｉａｌ Ｎｏｒｔｅ 𝐀 Ç"))) == "FILIAL NORTE A C"
