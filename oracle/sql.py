@@ -216,6 +216,7 @@ QUALIFY row_number() OVER (PARTITION BY upper(modelo) ORDER BY updated_at DESC)
  has_fat AS regra_fat_encontrada, has_margin AS regra_margem_encontrada FROM rated""",
     "manager_lookup": "SELECT row_id, cod_vendedor, gerente, perc_comissao_gerente FROM managed",
     "paid_history_join": f"SELECT row_id, nro_chassi, {_HISTORY} FROM history",
+    "paid_history_join_bucketed": f"SELECT row_id, nro_chassi, {_HISTORY} FROM history",
     "excluded_join": "SELECT row_id, nro_chassi, qtd_lancamentos_excluidos, bloqueado_exclusao FROM history",
     "open_candidates": """SELECT row_id, nro_chassi, status_confronto FROM confronted
 WHERE NOT bloqueado_pagamento AND NOT bloqueado_exclusao""",

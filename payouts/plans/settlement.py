@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from payouts.functions import norm_key, source_key
 from payouts.operators.extract import MachineSources, machine_base
-from payouts.operators.history import open_candidates, paid_history, paid_history_filter
+from payouts.operators.history import _chassis_key, _paid_columns, _paid_dim, open_candidates, paid_history, paid_history_filter
+from payouts.operators.joins import lookup_join
+from payouts.sources.stage import bucketed
 from payouts.operators.rules import commission_rules, default_fat_rate, manager_commission
 
-__all__ = ["machine_settlement", "settle_period", "settlement_after_posting"]
+__all__ = ["machine_settlement", "paid_history_bucketed", "settle_period", "settlement_after_posting"]
 
 
 def machine_settlement(
@@ -76,3 +78,11 @@ def settlement_after_posting(
     history = only(full, "left_anti").unionByName(redone.select(*full.columns))
     candidates = open_candidates(history)
     return (default_fat_rate(candidates) if default_rate else candidates), history
+
+
+def paid_history_bucketed(rows: DataFrame, paid: DataFrame, buckets: int) -> DataFrame:
+    """paid_history_join over tables bucketed by chassis key: rows and the paid summary are written bucketed and
+    sorted by the key, so the join reads both as they lie, with no exchange. Rows without a chassis share a bucket."""
+    keyed = bucketed(rows.withColumn("_chassis", _chassis_key(F.col("nro_chassi"))), "_chassis", buckets, "rows_by_chassis")
+    dim = bucketed(_paid_dim(paid), "_chassis", buckets, "paid_by_chassis")
+    return lookup_join(keyed, dim, ["_chassis"]).select(*rows.columns, *_paid_columns())

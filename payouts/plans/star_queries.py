@@ -25,7 +25,7 @@ from payouts.operators import shape as P
 from payouts.operators.joins import first_per_key
 from payouts.plans.posting import approved_sheet_rows, audit_upload, file_periods, payment_rows, post_exclusions, post_payments
 from payouts.plans.report_pack import report_pack
-from payouts.plans.settlement import machine_settlement, settlement_after_posting
+from payouts.plans.settlement import machine_settlement, paid_history_bucketed, settlement_after_posting
 from payouts.sources import ledger as G
 from payouts.sources import sheets as H5
 from payouts.sources.stage import shared_path, stage
@@ -623,6 +623,12 @@ def paid_history_join(x: Frames) -> DataFrame:
     return H.paid_history_join(x.base().select("row_id", "nro_chassi"), x.paid())
 
 
+@query
+def paid_history_join_bucketed(x: Frames) -> DataFrame:
+    buckets = int(x.spark.conf.get("spark.sql.shuffle.partitions"))
+    return paid_history_bucketed(x.base().select("row_id", "nro_chassi"), x.paid(), buckets)
+
+
 @query
 def excluded_join(x: Frames) -> DataFrame:
     return H.excluded_join(x.base().select("row_id", "nro_chassi"), x.excluded())

@@ -75,3 +75,22 @@ def test_merge_by_key(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, a int")
     b = spark.createDataFrame([("y", 3), ("z", 4)], "k string, b int")
     assert sorted(merge_by_key(a, b, "k").collect()) == [("x", 1, None), ("y", 2, 3), ("z", None, 4)]
+
+
+def test_bucketed_history_join_has_no_exchange(spark):
+    from payouts.operators.history import paid_history_join, paid_summary
+    from payouts.plans.settlement import paid_history_bucketed
+
+    rows = spark.createDataFrame([(i, f" ch{i % 7}") for i in range(60)] + [(99, None)], "row_id long, nro_chassi string")
+    ledger = spark.createDataFrame([(f"CH{i % 5}", float(i - 3)) for i in range(20)], "nro_chassi string, valor_comissao_total double")
+    paid = paid_summary(ledger)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = paid_history_bucketed(rows, paid, 4)
+        got = sorted(tuple(r) for r in joined.collect())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert got == sorted(tuple(r) for r in paid_history_join(rows, paid).collect())
