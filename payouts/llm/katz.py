@@ -14,7 +14,10 @@ probabilities of all words and the unknown one sum to 1.
 Everything is partitioned by the earlier token of a pair. A task packs its pairs, summed where they repeat, into one
 row for each bucket, so that few rows are shuffled; a bucket's rows meet in one task, which adds up in numpy and holds
 the bucket's own table only. Since every word is the earlier token of exactly one pair, what a text owes to a word's
-own count is found in the same place, and scoring is one more pass of the same form against the stored tables. The
+own count is found in the same place, and scoring is one more pass of the same form against the stored tables. Stored
+are counts: of a bucket's earlier tokens and its distinct later ones a row each, of its pairs one row that refers to them
+by number. The later tokens meet their own counts in a join, a row for each token and bucket in place of one for each
+pair; probabilities are worked out where the pairs are looked up and are never written. The
 number of buckets is `spark.sql.shuffle.partitions`, which is to be set to the size of the data as for any shuffle.
 
 Defined results: a missing text is an empty one, which is one end; each row has its own result, repeated rows and rows
@@ -42,7 +45,7 @@ DISCOUNTED = 5
 LEAST = 2
 #: Bytes of text whose pairs are packed together.
 PACK = 12 * BLOCK
-_HEAD = np.dtype([("h", "<i4"), ("w", "<i4"), ("n", "<i4"), ("docs", "<i4")])
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,32 +75,55 @@ def _bucket(earlier: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(earlier + np.uint64(77)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _small(values: np.ndarray, most: int) -> bytes:
-    return values.astype(np.uint16 if most <= 0xFFFF else np.uint32).tobytes()
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 up: the lowest bytes of all numbers, then the next, as one zstd frame."""
+    head, planes = [], []
+    for values in arrays:
+        width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+        head += [len(values), width]
+        planes.append(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(planes)
+    return np.array([len(arrays), len(raw), *head], "<u4").tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def _loosened(blob: bytes) -> list[np.ndarray]:
+    n, size = np.frombuffer(blob, "<u4", 2).tolist()
+    head = np.frombuffer(blob, "<u4", 2 * n, 8).reshape(n, 2).tolist()
+    raw = np.frombuffer(_ZSTD.decompress(blob[8 + 8 * n:], decompressed_size=size, asbytes=True) if size else b"", np.uint8)
+    out, at = [], 0
+    for length, width in head:
+        values = np.zeros((length, 8), np.uint8)
+        values[:, :width] = raw[at: at + length * width].reshape(width, length).T
+        out.append(values.view("<u8").reshape(-1))
+        at += length * width
+    return out
+
+
+def _ranked(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens, the most frequent first as small numbers take little room, and the place of each token among them."""
+    token, place, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return token[order], rank[place]
 
 
 def _packed(earlier: np.ndarray, later: np.ndarray, number: np.ndarray | None) -> bytes:
-    """Pairs with a number each (a text), or, without, with the times that they occur."""
-    h, hi = np.unique(earlier, return_inverse=True)
-    w, wi = np.unique(later, return_inverse=True)
-    if number is None:
-        key, number = np.unique(hi.astype(np.int64) * len(w) + wi, return_counts=True)
-        hi, wi = key // len(w), key % len(w)
-    most = int(number.max())
-    head = np.array([(len(h), len(w), len(hi), most)], _HEAD)
-    return b"".join([head.tobytes(), h.tobytes(), w.tobytes(), _small(hi, len(h)), _small(wi, len(w)), _small(number, most)])
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs with a number each (a text; in order), or, without, in order of pairs with the times that they occur. What is in
+    order is kept as steps."""
+    h, hi = _ranked(earlier)
+    w, wi = _ranked(later)
+    if number is not None:
+        return _squeezed(h, w, hi, wi, np.diff(number, prepend=number.dtype.type(0)))
+    key, times = np.unique(hi * len(w) + wi, return_counts=True)
+    return _squeezed(h, w, np.diff(key // len(w), prepend=0), key % len(w), times)
+
+
+def _unpacked(blob: bytes, texts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct earlier and later tokens, and for each pair its places among them and its number."""
-    head = np.frombuffer(blob, _HEAD, 1)[0]
-    out, at = [], _HEAD.itemsize
-    for n, most in ((head["h"], None), (head["w"], None), (head["n"], head["h"]), (head["n"], head["w"]), (head["n"], head["docs"])):
-        kind = np.dtype(np.uint64 if most is None else np.uint16 if most <= 0xFFFF else np.uint32)
-        out.append(np.frombuffer(blob, kind, int(n), at))
-        at += kind.itemsize * int(n)
-    h, w, hi, wi, number = out
-    return h, w, hi.astype(np.int64), wi.astype(np.int64), number.astype(np.int64)
+    h, w, *rest = _loosened(blob)
+    hi, wi, number = (x.astype(np.int64) for x in rest)
+    return (h, w, hi, wi, np.cumsum(number)) if texts else (h, w, np.cumsum(hi), wi, number)
 
 
 def _by_bucket(earlier: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,8 +151,13 @@ def _summed(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _counted(least: int):
-    """Of packs in order of bucket: token counts (kind 0), pair counts from the least up (kind 1), counts of low counts of
-    pairs (kind 2). Holds the distinct pairs of one bucket and the packs since they were last summed."""
+    """Of packs in order of bucket: earlier tokens with their counts (kind 0), distinct later tokens of the pairs that occur
+    the least number of times or more (kind 1), those pairs in one row (kind 2), counts of low counts of pairs (kind 5).
+    Holds the distinct pairs of one bucket and the packs since they were last summed.
+
+    The row of pairs has for each earlier token, in order, the number of its pairs, then for each pair the place of the
+    later token, in order of these, and the count.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, fresh, waiting = None, [], 0
@@ -138,12 +169,17 @@ def _counted(least: int):
             h, w, c = total()
             token, place = np.unique(h, return_inverse=True)
             often = np.flatnonzero(c >= least)
-            often = often[np.argsort(h[often], kind="stable")]  # equal tokens together take little room in files
+            later, after = np.unique(w[often], return_inverse=True)
+            order = np.lexsort((after, place[often]))
+            pairs = _squeezed(np.bincount(place[often], minlength=len(token)), after[order], c[often][order])
             low = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1: DISCOUNTED + 2]
-            for kind, a, b, n in ((0, token, token, np.bincount(place, c, len(token)).astype(np.int64)), (1, h[often], w[often], c[often]), (2, np.arange(1, len(low) + 1), np.arange(1, len(low) + 1), low)):
+            for kind, a, n, pack in (
+                (0, token, np.bincount(place, c, len(token)).astype(np.int64), None), (1, later, np.zeros(len(later), np.int64), None),
+                (2, np.zeros(1, np.uint64), np.zeros(1, np.int64), pairs), (5, np.arange(1, len(low) + 1), low, None),
+            ):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(a), kind, np.int8)), pa.array(np.full(len(a), bucket, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["kind", "bucket", "h", "w", "c"])
+                    pa.array(np.full(len(a), kind, np.int8)), pa.array(np.full(len(a), bucket, np.int32)), pa.array(a.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64)),
+                    pa.array([pack] * len(a), pa.binary())], names=["kind", "bucket", "h", "c", "pack"])
 
         for batch in batches:
             for b, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack"), strict=True):
@@ -151,7 +187,7 @@ def _counted(least: int):
                     if fresh:
                         yield from flush()
                     bucket, fresh, waiting = b, [], 0
-                h, w, hi, wi, number = _unpacked(pack.as_py())
+                h, w, hi, wi, number = _unpacked(pack.as_py(), texts=False)
                 fresh.append((h[hi], w[wi], number))
                 waiting += len(number)
                 if waiting > 1_000_000 + len(fresh[0][0]):
@@ -176,29 +212,26 @@ def discounts(low: dict[int, int]) -> list[float]:
     return [(r - min(max(less, 0.1), 0.9)) / r for r in range(1, DISCOUNTED + 1)]
 
 
-def _factor(count: Column, factors: list[float]) -> Column:
-    out = F.lit(1.0)
-    for r, factor in enumerate(factors, 1):
-        out = F.when(count == r, F.lit(factor)).otherwise(out)
-    return out
+def _factors(counts: np.ndarray, factors: list[float]) -> np.ndarray:
+    return np.array([1.0, *factors, 1.0])[np.minimum(counts, DISCOUNTED + 1)]
 
 
 def _long(token: np.uint64) -> int:
     return int(np.array([token]).view(np.int64)[0])
 
 
-_COUNTS = "kind byte, bucket int, h long, w long, c long"
+_COUNTS = "kind byte, bucket int, h long, c long, pack binary"
 
 
 class Model:
-    """The tables in the shared folder, partitioned by bucket, and the few numbers that belong to them."""
+    """The counts in the shared folder, by bucket, and the few numbers that belong to them."""
 
     def __init__(self, docs: DataFrame, train: Column, text: str = "text", least: int = LEAST):
         spark = docs.sparkSession
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         source = docs.filter(train).select(text_of(text).alias("text"))
         packs = source.mapInArrow(_count_packs(self.buckets), "bucket int, pack binary")
-        ordered = packs.repartition("bucket").sortWithinPartitions("bucket")
+        ordered = packs.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket")
         folder = new_folder(spark, "katz-counts")
         before = spark.conf.get(_BATCH)
         spark.conf.set(_BATCH, BATCH_BYTES)
@@ -208,47 +241,31 @@ class Model:
             spark.conf.set(_BATCH, before)
         del packs, ordered
         release(spark)
-        counts = spark.read.schema(_COUNTS).parquet(folder)
-        starts = counts.filter(f"kind = 0 AND h = {_long(START)}").agg(F.sum("c")).first()[0] or 0  # one row: the texts
-        words = counts.filter(f"kind = 0 AND h != {_long(START)}").select("bucket", "h", "c")
-        n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        self.tokens, self.types, self.ends = n + starts, v + (starts > 0), starts
-        low = {r["c"]: r["n"] for r in words.filter(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-        single = discounts(low)
-        pair = discounts({r["h"]: r["n"] for r in counts.filter("kind = 2").groupBy("h").agg(F.sum("c").alias("n")).collect()})
-        pair[: least - 1] = [0.0] * (least - 1)
-        discounted = words.agg(F.coalesce(F.sum(F.col("c") * _factor(F.col("c"), single)), F.lit(0.0))).first()[0]
+        self.counts = spark.read.schema(_COUNTS).parquet(folder)
+        # A few rows: of tokens one for the starts (0), each low count and all high ones; of pairs one for each low count.
+        start = (F.col("kind") == 0) & (F.col("h") == _long(START))
+        level = F.when(F.col("kind") == 5, F.col("h")).when(start, F.lit(0)).otherwise(F.least("c", F.lit(DISCOUNTED + 2)))
+        found = self.counts.filter("kind IN (0, 5)").groupBy("kind", level.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
+        words = {r["level"]: r for r in found if r["kind"] == 0}
+        starts = words.pop(0)["c"] if 0 in words else 0  # the texts
+        self.tokens, self.types, self.ends = sum(r["c"] for r in words.values()) + starts, sum(r["n"] for r in words.values()) + (starts > 0), starts
+        self.single = discounts({level: r["n"] for level, r in words.items() if level <= DISCOUNTED + 1})
+        self.pair = discounts({r["level"]: r["c"] for r in found if r["kind"] == 5})
+        self.pair[: least - 1] = [0.0] * (least - 1)
+        discounted = sum(r["c"] * ([*self.single, 1.0][min(level, DISCOUNTED + 1) - 1]) for level, r in sorted(words.items()))
         # The end is a type of its own and is left as it is. Discounts always leave something unless all counts are high.
         spare = 0.5 if self.tokens and self.tokens - discounted - starts < 1e-9 else 0.0
-        mass = float(self.tokens + spare) or 1.0
-        self.unknown = 1 - (discounted + starts) / mass if self.tokens else 1.0
-        self.end = starts / mass if starts else 1.0
-        chance = F.col("c") * _factor(F.col("c"), single) / F.lit(mass)
-        one = words.select(F.col("h").alias("w"), chance.alias("p"))
-        is_end = F.col("w") == _long(END)
-        pairs = counts.filter("kind = 1")
-        both = pairs.filter(~is_end).join(one, "w").select("bucket", "h", "w", "c", "p").unionByName(pairs.filter(is_end).select("bucket", "h", "w", "c", F.lit(self.end).alias("p")))
-        self.pairs = self._stored(both.select("bucket", "h", "w", (F.col("c") * _factor(F.col("c"), pair)).alias("d"), "p"), "pairs")
-        left = self.pairs.groupBy("h").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
-        every = counts.filter("kind = 0").select("bucket", "h", "c").withColumn("own", chance).join(left, "h", "left")
-        d, p = F.coalesce("d", F.lit(0.0)), F.coalesce("p", F.lit(0.0))
-        whole = F.when(F.col("c") - d > 1e-9, F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
-        self.words = self._stored(every.select(
-            "bucket", "h", "c", F.log10(whole).alias("whole"), F.log10((1 - d / whole) / F.greatest(1 - p, F.lit(self.unknown))).alias("back"),
-            F.log10("own").alias("p")), "words")
-
-    def _stored(self, rows: DataFrame, name: str) -> DataFrame:
-        """The table from files of the shared folder, partitioned by bucket."""
-        folder = new_folder(rows.sparkSession, f"katz-{name}")
-        rows.repartition("bucket").sortWithinPartitions("bucket", "h").write.partitionBy("bucket").parquet(folder)
-        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+        self.mass = float(self.tokens + spare) or 1.0
+        self.unknown = 1 - (discounted + starts) / self.mass if self.tokens else 1.0
+        self.end = starts / self.mass if starts else 1.0
 
     def rows(self) -> DataFrame:
-        """Both tables in the form in which they meet the packs."""
-        none = F.lit(None).cast("double")
-        words = self.words.select("bucket", F.lit(0).cast("byte").alias("kind"), "h", F.col("c").alias("w"), F.col("whole").alias("x"), F.col("back").alias("y"), F.col("p").alias("z"))
-        pairs = self.pairs.select("bucket", F.lit(1).cast("byte").alias("kind"), "h", "w", (F.log10("d") - F.log10("p")).alias("x"), none.alias("y"), none.alias("z"))
-        return words.unionByName(pairs)
+        """The tables in the form in which they meet the packs: earlier tokens and later ones, both with their own counts
+        (the end's is not among them), and pairs."""
+        words = self.counts.filter("kind = 0").select("bucket", "kind", "h", F.col("c").alias("w"))
+        later = self.counts.filter("kind = 1").select("bucket", "kind", "h")
+        later = later.join(words.select("h", "w"), "h", "left").select("bucket", "kind", "h", F.coalesce("w", F.lit(0)).alias("w"))
+        return words.unionByName(later).unionByName(self.counts.filter("kind = 2").select("bucket", "kind", "pack"), allowMissingColumns=True)
 
 
 def _score_packs(buckets: int):
@@ -262,11 +279,11 @@ def _score_packs(buckets: int):
                 size, whole, kind = len(found), len(keys), part.schema.field("id").type
                 # The number of its first row names the part; its texts are counted from there.
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([x[0] for x in found], pa.int32()), pa.array(np.full(size, 2, np.int8)), pa.array(np.full(size, keys[0], np.int64)), pa.nulls(size, pa.int64()),
+                    pa.array([x[0] for x in found], pa.int32()), pa.array(np.full(size, 3, np.int8)), pa.array(np.full(size, keys[0], np.int64)), pa.nulls(size, pa.int64()),
                     pa.nulls(size, pa.int32()), pa.array([x[1] for x in found], pa.binary()), pa.nulls(size, kind), pa.nulls(size, pa.bool_())], names=_NAMES)
                 # One row a text that carries its identifier, dealt over all buckets.
                 yield pa.RecordBatch.from_arrays([
-                    pa.array((keys % buckets).astype(np.int32)), pa.array(np.full(whole, 3, np.int8)), pa.array(np.full(whole, keys[0], np.int64)), pa.array(n.astype(np.int64)),
+                    pa.array((keys % buckets).astype(np.int32)), pa.array(np.full(whole, 4, np.int8)), pa.array(np.full(whole, keys[0], np.int64)), pa.array(n.astype(np.int64)),
                     pa.array(np.arange(whole, dtype=np.int32)), pa.nulls(whole, pa.binary()), part.column("id"), part.column("held_out")], names=_NAMES)
 
     return walk
@@ -274,29 +291,43 @@ def _score_packs(buckets: int):
 
 _NAMES = ["bucket", "kind", "h", "w", "place", "pack", "id", "held_out"]
 _PARTIAL = ["part", "place", "n", "sums", "id", "held_out"]
-_SUMS = np.dtype([("place", "<i4"), ("known", "<i4"), ("base", "<f8"), ("score", "<f8")])
 
 
-def _bucket_scores(tokens: int, types: int, unknown: float):
-    """Of a bucket's rows in order of kind (0 words, 1 pairs, 2 packs, 3 texts): partial sums for the texts of each pack, in
-    one row, and the rows of kind 3.
+def _bucket_scores(model: Model):
+    """Of a bucket's rows in order of kind (0 earlier tokens, 1 later tokens, 2 pairs, 3 packs, 4 texts): partial sums for
+    the texts of each pack, in one row, and the rows of kind 4.
 
     Holds the bucket's tables and one pack.
     """
-    base_of = math.log10(tokens + 0.5 * (types + 1))
+    base_of = math.log10(model.tokens + 0.5 * (model.types + 1))
+    unknown, end, mass, single, pair = model.unknown, model.end, model.mass, model.single, model.pair
     lost = math.log10(unknown)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, raw, ready, kind_of_id = None, {0: [], 1: []}, None, None
+        bucket, raw, ready, kind_of_id = None, {0: [], 1: [], 2: []}, None, None
+
+        def listed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            """Tokens in order, and their counts."""
+            if not raw[kind]:
+                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            token, count = (np.concatenate(x) for x in zip(*raw[kind], strict=True))
+            order = np.argsort(token.view(np.uint64))
+            return token.view(np.uint64)[order], count[order]
 
         def tables():
-            words = [np.concatenate(x) for x in zip(*raw[0], strict=True)] if raw[0] else [np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3))]
-            order = np.argsort(words[0].view(np.uint64))
-            words = [x[order] for x in words]
-            pairs = [np.concatenate(x) for x in zip(*raw[1], strict=True)] if raw[1] else [np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3))]
-            key = mixed(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64)
+            """Of earlier tokens the counts, logarithms of what a pair's count is divided by, of a(h) and of p1; of pairs
+            the keys, in order, and what a pair in the table gains over backing off."""
+            (h, c), (w, own) = listed(0), listed(1)
+            follow, after, times = (x.astype(np.int64) for x in (_loosened(raw[2][0]) if raw[2] else [np.zeros(0, np.int64)] * 3))
+            place = np.repeat(np.arange(len(h)), follow)
+            below = np.where(w == END, end, own * _factors(own, single) / mass)[after]
+            kept = times * _factors(times, pair)
+            left = np.bincount(place, kept, len(h))
+            whole = np.where(c - left > 1e-9, c, c + 1.0)
+            back = np.log10((1 - left / whole) / np.maximum(1 - np.bincount(place, below, len(h)), unknown))
+            key = mixed(h)[place] + w[after]
             order = np.argsort(key)
-            return words[0].view(np.uint64), words[1], words[2], words[3], words[4], key[order], pairs[2][order]
+            return h, c, np.log10(whole), back, np.log10(c * _factors(c, single) / mass), key[order], (np.log10(kept) - np.log10(below))[order]
 
         def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(keys):
@@ -306,7 +337,7 @@ def _bucket_scores(tokens: int, types: int, unknown: float):
 
         def sums(pack: bytes, first: int) -> pa.RecordBatch:
             token, count, whole, back, p, pair, gain = ready
-            h, w, hi, wi, text = _unpacked(pack)
+            h, w, hi, wi, text = _unpacked(pack, texts=True)
             at, known = found(token, h)
             is_start = h == START
             some = lambda x, other: np.where(known, x[at] if len(x) else 0.0, other)
@@ -317,12 +348,10 @@ def _bucket_scores(tokens: int, types: int, unknown: float):
             bonus = np.where(seen, (gain[seen_at] if len(gain) else 0.0) - (some(whole, 0.0) + some(back, 0.0))[hi], 0.0)
             n = int(text.max()) + 1
             held = np.flatnonzero(np.bincount(text, minlength=n))
-            out = np.empty(len(held), _SUMS)
-            out["place"] = held
-            for name, x in (("base", base[hi]), ("score", own[hi] + bonus), ("known", (known & ~is_start)[hi])):
-                out[name] = np.bincount(text, x, n)[held]
+            known, base, score = (np.bincount(text, x, n)[held] for x in ((known & ~is_start)[hi], base[hi], own[hi] + bonus))
+            out = _squeezed(np.diff(held, prepend=0), known, base.view(np.uint64), score.view(np.uint64))
             return pa.RecordBatch.from_arrays([
-                pa.array([first], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, kind_of_id), pa.nulls(1, pa.bool_())], names=_PARTIAL)
+                pa.array([first], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([out], pa.binary()), pa.nulls(1, kind_of_id), pa.nulls(1, pa.bool_())], names=_PARTIAL)
 
         for batch in batches:
             kind_of_id = batch.schema.field("id").type
@@ -331,11 +360,13 @@ def _bucket_scores(tokens: int, types: int, unknown: float):
             for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kinds)], strict=True):
                 part = batch.slice(low, high - low)
                 if buckets[low] != bucket:
-                    bucket, raw, ready = buckets[low], {0: [], 1: []}, None
+                    bucket, raw, ready = buckets[low], {0: [], 1: [], 2: []}, None
                 kind = int(kinds[low])
                 if kind < 2:
-                    raw[kind].append([part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w", "x", "y", "z")])
+                    raw[kind].append([part.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w")])
                 elif kind == 2:
+                    raw[2] += part.column("pack").to_pylist()
+                elif kind == 3:
                     if ready is None:
                         ready = tables()
                     for first, pack in zip(part.column("h").to_pylist(), part.column("pack"), strict=True):
@@ -353,14 +384,15 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         table = pa.Table.from_batches(texts).combine_chunks()
         place = table.column("place").to_numpy()
-        total = np.zeros(int(place.max()) + 1, _SUMS)
+        n = int(place.max()) + 1
+        total = {"known": np.zeros(n, np.int64), "base": np.zeros(n), "score": np.zeros(n)}
         for x in sums:
-            some = np.frombuffer(x, _SUMS)
-            for name in ("base", "score", "known"):
-                total[name][some["place"]] += some[name]
-        mine = total[place]
+            step, known, base, score = _loosened(x)
+            at = np.cumsum(step.astype(np.int64))
+            for name, some in (("known", known.astype(np.int64)), ("base", base.view("<f8")), ("score", score.view("<f8"))):
+                total[name][at] += some
         columns = [table.column(c).chunk(0) for c in ("id", "held_out", "n")]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(mine[c])) for c in ("base", "score")), pa.array(mine["known"].astype(np.int64))], names=["id", "held_out", "n", "base", "score", "known"])
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(total[c][place]) for c in ("base", "score", "known"))], names=["id", "held_out", "n", "base", "score", "known"])
 
     for batch in batches:
         parts_here = np.asarray(batch.column("part"))
@@ -382,13 +414,13 @@ def scored(docs: DataFrame, held_out: Column, identifier: str = "doc_id", text:
     """One row for each row: its identifier, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`.
     The model learns from the rows that are not held out."""
     model = Model(docs, ~held_out, text, least)
-    release(docs.sparkSession)  # the counts, now that the tables are stored
+    release(docs.sparkSession)  # the counting's packs, now that the counts are stored and read
     kind = docs.schema[identifier].dataType.simpleString()
     # The row numbers hold within this one job, which is where packs and identifiers part and meet again.
     source = docs.select(F.col(identifier).alias("id"), text_of(text).alias("text"), held_out.alias("held_out")).withColumn("row", F.monotonically_increasing_id())
     packs = source.mapInArrow(_score_packs(model.buckets), f"bucket int, kind byte, h long, w long, place int, pack binary, id {kind}, held_out boolean")
-    met = model.rows().unionByName(packs, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    partial = met.mapInArrow(_bucket_scores(model.tokens, model.types, model.unknown), f"part long, place int, n long, sums binary, id {kind}, held_out boolean")
+    met = model.rows().unionByName(packs, allowMissingColumns=True).repartitionById(model.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    partial = met.mapInArrow(_bucket_scores(model), f"part long, place int, n long, sums binary, id {kind}, held_out boolean")
     by_part = partial.repartition("part").sortWithinPartitions("part")
     total = by_part.mapInArrow(_totals, f"id {kind}, held_out boolean, n long, base double, score double, known long")
     base_of_end = math.log10((model.ends + 0.5) / (model.tokens + 0.5 * (model.types + 1)))

@@ -176,6 +176,29 @@ def test_katz_query_keeps_pairs_seen_once(spark, sample):
     assert found == pytest.approx({i: model.row(t)[4] for i, t in texts}, abs=1e-6)
 
 
+def test_katz_stores_few_bytes_for_a_pair(spark, tmp_path, monkeypatch):
+    """Files hold counts and small numbers, no probability or hash for each pair."""
+    monkeypatch.setattr(katz, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    texts = [" ".join(f"w{i}" for i in np.random.default_rng(n).zipf(1.3, 400) % 20_000) for n in range(600)]
+    model = katz.Model(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(True), least=1)
+    pairs = {pair for t in texts for pair in zip(["<start>", *tokens(t)], tokens(t), strict=False)}
+    stored = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert (model.tokens, model.ends) == (600 * 401, 600) and stored < 10 * len(pairs)
+
+
+def test_packs_hold_what_was_packed():
+    wide = [np.array(x, np.uint64) for x in ([], [0, 0], [255, 256, 65_536], [2**64 - 1, 1], range(1000))]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(wide, katz._loosened(katz._squeezed(*wide)), strict=True))
+    assert len(katz._loosened(katz._squeezed(wide[0]))[0]) == 0
+    rng = np.random.default_rng(1)
+    earlier, later = (rng.integers(2**63, 2**63 + 40, 5000, np.uint64) for _ in range(2))
+    text = np.sort(rng.integers(0, 300, 5000)).astype(np.int32)
+    h, w, hi, wi, number = katz._unpacked(katz._packed(earlier, later, text), texts=True)
+    assert (h[hi] == earlier).all() and (w[wi] == later).all() and (number == text).all()
+    h, w, hi, wi, number = katz._unpacked(katz._packed(earlier, later, None), texts=False)
+    assert dict(zip(zip(h[hi].tolist(), w[wi].tolist(), strict=True), number.tolist(), strict=True)) == Counter(zip(earlier.tolist(), later.tolist(), strict=True))
+
+
 def test_trigrams_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
     import pyarrow as pa
 
