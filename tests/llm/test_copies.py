@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import pytest
 
-from payouts.llm import content_sort, jaccard_join
+from pyspark.sql import functions as F
+
+from payouts.llm import common, content_sort, jaccard_join
 
 from .conftest import ROWS
 
@@ -145,3 +147,32 @@ def test_one_of_each_drops_near_copies_that_share_or_lack_an_identifier(spark):
     kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     assert kept == [(1, a), (5, b), (None, c)]
     assert set(jaccard_join.one_of_each(docs).columns) == set(docs.columns)
+
+
+@pytest.mark.parametrize("bits", [None, 128])
+def test_a_sieve_loses_no_key(spark, monkeypatch, bits):
+    if bits:
+        monkeypatch.setattr(common, "SIEVE", bits)  # more keys than it holds
+    frame = spark.range(20000).selectExpr("id AS _word", "nullif(id % 4000, 0) AS k")
+    keys = spark.range(1000).selectExpr("nullif(id, 0) AS k")
+    found = common.sieved(frame, F.xxhash64("k"), keys, F.xxhash64("k"), "maybe")
+    assert found.columns == ["_word", "k", "maybe"]
+    rows = found.collect()
+    assert len(rows) == 20000 and all(r["maybe"] for r in rows if r["k"] is None or r["k"] < 1000)
+    if not bits:
+        assert sum(r["maybe"] for r in rows) < 5000 + 15000 / 8
+    assert not common.sieved(frame, F.xxhash64("k"), keys.limit(0), F.xxhash64("k"), "maybe").filter("maybe").count()
+
+
+def test_texts_are_sieved_and_each_comparison_has_its_own_files(spark, sample, monkeypatch):
+    plans = []
+    cut = jaccard_join.cut
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return cut(frame)
+
+    monkeypatch.setattr(jaccard_join, "cut", noted)
+    jaccard_join.one_of_each(sample.limit(100))
+    assert [p for p in plans if "tokens" in p and "getbit" in p and "MapInArrow" in p]  # the texts of the wanted rows
+    assert max(p.count("MapInArrow walk") for p in plans) == 1
