@@ -63,3 +63,10 @@ def test_queries_equal_sql(spark, name):
     found = __spark_entry__.queries()[name](spark, FOLDER)
     columns = ", ".join(sorted(found.columns))
     assert sorted(map(tuple, found.select(*sorted(found.columns)).collect())) == sorted(con.execute(f"SELECT {columns} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
+
+
+def test_pipeline_keeps_the_last_stage_only(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda _, docs, __: docs.limit(50)) for n in ("a", "b", "c")])
+    assert corpus_pipeline.run(spark, FOLDER).count() == 50
+    assert [p.name for p in tmp_path.iterdir()] == ["pipeline-c"]
