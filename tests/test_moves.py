@@ -1,5 +1,6 @@
 """What is moved, and how often it is made: rows go through joins narrow, and a posting makes its rows once."""
 
+import time
 from contextlib import contextmanager
 from datetime import date
 from pathlib import Path
@@ -7,10 +8,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from payouts.functions import source_key
 from payouts.operators import eligibility as E
 from payouts.plans.settlement import machine_settlement
 from payouts.plans.star_queries import Frames
 from payouts.sources import ledger as G
+from payouts.sources.stage import stage
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,32 @@ def test_invoices_are_moved_without_a_second_copy_of_their_codes(spark, x):
     assert "_seller#" not in text and "_customer#" not in text
 
 
+def test_lookup_keys_of_the_extraction_are_no_columns(spark, x):
+    with no_broadcast(spark):
+        text = plan(x.base())
+    assert "SortMergeJoin" in text and "_common_expr" not in text
+    keys = spark.createDataFrame([(" a ",), ("  ",), ("",), (None,)], "k string")
+    assert [r[0] for r in keys.select(source_key(F.col("k"))).collect()] == ["A", None, None, None]
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(blocks.size()) if (name := blocks.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_the_shuffle_files_of_a_staged_table_go_with_its_write(spark, tmp_path):
+    before = shuffle_files(spark)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table = stage(rows, "counts")
+    period = G.period_columns(2024, 5, "Junho/2024")
+    G.append_paid_ledger(rows.select(F.col("k").cast("string").alias("nro_chassi")), str(tmp_path / "ledger"), period, posting_id="a")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert table.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_history_is_joined_before_the_commission_columns(spark, x):
     base = spark.createDataFrame(
         [("M", "Maquinas JD - Novos", "CH1", 100.0, 1.0, "S1"), ("M", None, None, 50.0, 1.0, None)],
@@ -79,6 +108,16 @@ def test_eligibility_moves_rows_as_they_came(spark):
     assert got == {"a": ("APTO", "APTO"), "b": ("N/A", "APTO"), "c": ("N/A", "N/A"), "d": ("N/A", "NÃO ENCONTRADO")}
 
 
+def test_payment_results_are_a_table_before_rows_are_moved(spark):
+    types = {"data_emissao": "date", "valor_comissao_total": "double"}
+    rows = spark.createDataFrame([], ", ".join(f"{c} {types.get(c, 'string')}" for c in E.ROW_COLUMNS))
+    incentives = spark.createDataFrame([], "chassi string, nota_fiscal_numero string, valor_incentivo double")
+    owed = spark.createDataFrame([], "titulo_numero string, cliente_codigo string, tipo_titulo string, valor_saldo double, data_emissao date")
+    invoices = spark.createDataFrame([], "nota_fiscal_numero string, data_emissao date, cliente_codigo string")
+    found = E.payment_eligibility(rows, incentives, owed, invoices)
+    assert [f for f in found.inputFiles() if "payment_results" in f] and not found.collect()
+
+
 def test_a_posting_makes_its_rows_once(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
